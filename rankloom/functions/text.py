@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.stopwords import ENGLISH_STOP_WORDS
 
-# Java's \s is ASCII only; the class below adds the Unicode spaces and the separator controls.
-WHITESPACE_RUN = (
-    r"[\s\x0B\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+# The characters Python's str.split() treats as white space.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 # Word tokens of two or more letters, digits or underscores, for any script.
 WORD_TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -21,9 +23,12 @@ def bind(value: Column, body) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased whitespace tokens; punctuation stays attached, NULL text has no tokens."""
+    """Lower-cased whitespace tokens; punctuation stays attached, NULL text has no tokens.
+
+    Mapping every space to a blank first lets the split use a plain character, not a regex.
+    """
     lowered = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_remove(F.split(lowered, WHITESPACE_RUN), "")
+    return F.array_remove(F.split(F.translate(lowered, SPACES, " " * len(SPACES)), " "), "")
 
 
 def compress_score(value: Column) -> Column:
@@ -64,7 +69,7 @@ def preview(text: Column, length: int = 220, strip: bool = True) -> Column:
     """One-line snippet: newlines become spaces, ends are stripped, first `length` characters."""
     line = F.regexp_replace(text, "\n", " ")
     if strip:
-        line = F.regexp_replace(line, f"^{WHITESPACE_RUN}|{WHITESPACE_RUN}$", "")
+        line = F.btrim(line, F.lit(SPACES))
     return F.substring(line, 1, length)
 
 

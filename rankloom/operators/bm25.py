@@ -143,17 +143,19 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def weighted_terms(index: BM25Index, queries: DataFrame) -> DataFrame:
-    """qid, term, qtf, idf for query terms the corpus knows."""
-    terms = broadcast_if_small(query_terms(queries))
-    return index.term_stats.join(terms, "term").select("qid", "term", "qtf", "idf")
+def weighted_terms(index: BM25Index, terms: DataFrame, fits: bool) -> DataFrame:
+    """qid, term, qtf, idf for query terms the corpus knows; no larger than `terms`."""
+    side = F.broadcast(terms) if fits else terms
+    return index.term_stats.join(side, "term").select("qid", "term", "qtf", "idf")
 
 
 def score_all(index: BM25Index, queries: DataFrame) -> DataFrame:
     """qid, doc_id, score for every document that holds a query term."""
-    terms = weighted_terms(index, queries)
+    asked = query_terms(queries)
+    fits = fits_broadcast(asked)
+    terms = weighted_terms(index, asked, fits)
     weights = index.postings.select("doc_id", "term", index.term_weight().alias("weight"))
-    matched = join_on_term(weights, terms, "term", "doc_id")
+    matched = join_on_term(weights, terms, "term", "doc_id", fits)
     points = F.sum(F.col("qtf") * F.col("idf") * F.col("weight"))
     return matched.groupBy("qid", "doc_id").agg(F.round(points, SCORE_DIGITS).alias("score"))
 
@@ -218,18 +220,21 @@ def _top_k_with_negative_scores(index: BM25Index, queries: DataFrame, k: int) ->
     return best_per_query(matched.unionByName(zeros), k)
 
 
-def pair_overlap(index: BM25Index, pairs: DataFrame, terms: DataFrame) -> DataFrame:
+def pair_overlap(index: BM25Index, queries: DataFrame, pairs: DataFrame) -> DataFrame:
     """qid, doc_id, common_terms, idf_overlap, score for given pairs that share at least one term.
 
-    `terms` comes from `weighted_terms`. Only postings of the pairs' documents are read.
+    Only postings of the pairs' documents are read.
     """
+    asked = query_terms(queries)
+    fits = fits_broadcast(asked)
+    terms = weighted_terms(index, asked, fits)
     pairs = pairs.select("qid", "doc_id")
     wanted = pairs.select("doc_id").distinct()
     near = index.postings.join(broadcast_if_small(wanted), "doc_id", "left_semi").select(
         "doc_id", "term", index.term_weight().alias("weight")
     )
-    asked = pairs.join(broadcast_if_small(terms), "qid")
-    return asked.join(near, ["doc_id", "term"]).groupBy("qid", "doc_id").agg(
+    pair_terms = pairs.join(F.broadcast(terms) if fits else terms, "qid")
+    return pair_terms.join(near, ["doc_id", "term"]).groupBy("qid", "doc_id").agg(
         F.count(F.lit(1)).alias("common_terms"),
         F.round(F.sum("idf"), 9).alias("idf_overlap"),
         F.round(F.sum(F.col("qtf") * F.col("idf") * F.col("weight")), SCORE_DIGITS).alias("score"),
@@ -239,7 +244,7 @@ def pair_overlap(index: BM25Index, pairs: DataFrame, terms: DataFrame) -> DataFr
 def score_candidates(index: BM25Index, queries: DataFrame, pairs: DataFrame) -> DataFrame:
     """True BM25 score of given (qid, doc_id) pairs; ids outside the corpus are dropped."""
     known = pairs.select("qid", "doc_id").join(index.doc_stats.select("doc_id"), "doc_id", "left_semi")
-    scores = pair_overlap(index, known, weighted_terms(index, queries)).select("qid", "doc_id", "score")
+    scores = pair_overlap(index, queries, known).select("qid", "doc_id", "score")
     return known.join(scores, ["qid", "doc_id"], "left").select(
         "qid", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score")
     )

@@ -42,14 +42,15 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
 
 
 def join_on_term(
-    big: DataFrame, small: DataFrame, key: str, spread: str, limit: int = BROADCAST_BYTES, salts: int = 16
+    big: DataFrame, small: DataFrame, key: str, spread: str, fits: bool | None = None, salts: int = 16
 ) -> DataFrame:
     """Inner join of a large table with a term table.
 
-    Small side within the limit: broadcast, `big` keeps its partitioning. Beyond it: shuffle join with
-    every key of `big` split over `salts` buckets of its `spread` column, so that no term sits in one task.
+    `fits` says whether `small` may be broadcast (counted here when not given). If so `big` keeps its
+    partitioning. If not: shuffle join with every key of `big` split over `salts` buckets of its
+    `spread` column, so that no term sits in one task.
     """
-    if fits_broadcast(small, limit):
+    if fits_broadcast(small) if fits is None else fits:
         return big.join(F.broadcast(small), key)
     salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
