@@ -317,7 +317,7 @@ def tfidf_vocab(spark, folder):
 @register
 def tfidf_cosine(spark, folder):
     run = experiment(spark, folder)
-    documents = tfidf.documents_of(run.corpus, run.pairs.select("doc_id").distinct())
+    documents = tfidf.documents_of(run.corpus, run.pairs)
     return rounded(tfidf.pair_cosine(run.pairs, run.queries, documents, run.vocabulary))
 
 
@@ -351,7 +351,7 @@ def overlap_features(spark, folder):
 @register
 def length_features(spark, folder):
     run = experiment(spark, folder)
-    return rounded(features.length_features(run.index, run.queries, run.pairs))
+    return rounded(features.length_features(run.index, run.queries, run.pairs.select("qid", "doc_id")))
 
 
 @register

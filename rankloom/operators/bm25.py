@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import tokens
-from rankloom.plans.joins import broadcast_if_small, fits_broadcast, join_on_term
+from rankloom.plans.joins import BROADCAST_BYTES, broadcast_if_small, fits_broadcast, join_on_term
 from rankloom.plans.ordering import number_rows
 from rankloom.plans.staging import fresh_path, stage
 
@@ -103,7 +103,10 @@ def build_index(
         [(totals["n"], totals["avgdl"] or 1.0, mean_idf or 0.0, buckets, k1, b, epsilon)],
         "n_docs long, avgdl double, mean_idf double, buckets int, k1 double, b double, epsilon double",
     ).coalesce(1).write.json(f"{path}/manifest")
-    return load_index(spark, path)
+    return BM25Index(
+        written, spark.read.parquet(f"{path}/doc_stats"), terms,
+        totals["n"], totals["avgdl"] or 1.0, mean_idf or 0.0, k1, b, epsilon,
+    )
 
 
 def load_index(spark: SparkSession, path: str) -> BM25Index:
@@ -143,6 +146,13 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
+def small_queries(queries: DataFrame) -> bool:
+    """Whether every per-query table (terms, lengths) is certain to fit a broadcast; one count."""
+    per_row = F.octet_length(F.coalesce("text", F.lit(""))) + F.size(tokens(F.col("text"))) * 56 + 64
+    size = queries.agg(F.coalesce(F.sum(per_row.cast("long")), F.lit(0))).first()[0]
+    return size <= BROADCAST_BYTES
+
+
 def weighted_terms(index: BM25Index, terms: DataFrame, fits: bool) -> DataFrame:
     """qid, term, qtf, idf for query terms the corpus knows; no larger than `terms`."""
     side = F.broadcast(terms) if fits else terms
@@ -151,9 +161,8 @@ def weighted_terms(index: BM25Index, terms: DataFrame, fits: bool) -> DataFrame:
 
 def score_all(index: BM25Index, queries: DataFrame) -> DataFrame:
     """qid, doc_id, score for every document that holds a query term."""
-    asked = query_terms(queries)
-    fits = fits_broadcast(asked)
-    terms = weighted_terms(index, asked, fits)
+    fits = small_queries(queries)
+    terms = weighted_terms(index, query_terms(queries), fits)
     weights = index.postings.select("doc_id", "term", index.term_weight().alias("weight"))
     matched = join_on_term(weights, terms, "term", "doc_id", fits)
     points = F.sum(F.col("qtf") * F.col("idf") * F.col("weight"))
@@ -220,20 +229,24 @@ def _top_k_with_negative_scores(index: BM25Index, queries: DataFrame, k: int) ->
     return best_per_query(matched.unionByName(zeros), k)
 
 
-def pair_overlap(index: BM25Index, queries: DataFrame, pairs: DataFrame) -> DataFrame:
+def pair_overlap(
+    index: BM25Index, queries: DataFrame, pairs: DataFrame,
+    fits_queries: bool | None = None, fits_pairs: bool | None = None,
+) -> DataFrame:
     """qid, doc_id, common_terms, idf_overlap, score for given pairs that share at least one term.
 
-    Only postings of the pairs' documents are read.
+    Only postings of the pairs' documents are read. The `fits_*` flags say which sides may be
+    broadcast; they are counted here when not given.
     """
-    asked = query_terms(queries)
-    fits = fits_broadcast(asked)
-    terms = weighted_terms(index, asked, fits)
     pairs = pairs.select("qid", "doc_id")
-    wanted = pairs.select("doc_id").distinct()
-    near = index.postings.join(broadcast_if_small(wanted), "doc_id", "left_semi").select(
-        "doc_id", "term", index.term_weight().alias("weight")
-    )
-    pair_terms = pairs.join(F.broadcast(terms) if fits else terms, "qid")
+    fits_queries = small_queries(queries) if fits_queries is None else fits_queries
+    fits_pairs = fits_broadcast(pairs) if fits_pairs is None else fits_pairs
+    terms = weighted_terms(index, query_terms(queries), fits_queries)
+    ids = pairs.select("doc_id")
+    near = index.postings.join(
+        F.broadcast(ids) if fits_pairs else ids.distinct(), "doc_id", "left_semi"
+    ).select("doc_id", "term", index.term_weight().alias("weight"))
+    pair_terms = pairs.join(F.broadcast(terms) if fits_queries else terms, "qid")
     return pair_terms.join(near, ["doc_id", "term"]).groupBy("qid", "doc_id").agg(
         F.count(F.lit(1)).alias("common_terms"),
         F.round(F.sum("idf"), 9).alias("idf_overlap"),
@@ -243,9 +256,12 @@ def pair_overlap(index: BM25Index, queries: DataFrame, pairs: DataFrame) -> Data
 
 def score_candidates(index: BM25Index, queries: DataFrame, pairs: DataFrame) -> DataFrame:
     """True BM25 score of given (qid, doc_id) pairs; ids outside the corpus are dropped."""
-    known = pairs.select("qid", "doc_id").join(index.doc_stats.select("doc_id"), "doc_id", "left_semi")
-    scores = pair_overlap(index, queries, known).select("qid", "doc_id", "score")
-    return known.join(scores, ["qid", "doc_id"], "left").select(
+    pairs = pairs.select("qid", "doc_id")
+    fits_pairs = fits_broadcast(pairs)
+    side = F.broadcast(pairs) if fits_pairs else pairs
+    known = index.doc_stats.select("doc_id").join(side, "doc_id").select("qid", "doc_id")
+    scores = pair_overlap(index, queries, pairs, fits_pairs=fits_pairs)
+    return known.join(scores.select("qid", "doc_id", "score"), ["qid", "doc_id"], "left").select(
         "qid", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score")
     )
 

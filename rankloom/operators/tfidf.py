@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import content_words, unigrams_and_bigrams
-from rankloom.plans.joins import broadcast_if_small
+from rankloom.plans.joins import fits_broadcast
 
 COSINE_DIGITS = 9
 
@@ -26,11 +26,13 @@ def fit_vocabulary(
 ) -> DataFrame:
     """gram, df, idf over training texts only; idf = ln((1 + n) / (1 + df)) + 1.
 
-    Distinct grams per text are counted where the text is; only partial counts are shuffled.
+    The chosen texts are few next to the corpus, so they are dealt out to all tasks first. Distinct
+    grams per text are counted where the text is; only partial counts are shuffled.
     """
     def distinct_grams(texts: DataFrame) -> DataFrame:
         grams = F.array_distinct(unigrams_and_bigrams(content_words(F.col("text"), stop_words)))
-        return texts.select(F.explode(grams).alias("gram"))
+        key = texts.columns[0]
+        return texts.select(key, "text").repartition(key).select(F.explode(grams).alias("gram"))
 
     n_texts = train_queries.count() + train_documents.count()
     grams = distinct_grams(train_queries).unionByName(distinct_grams(train_documents))
@@ -68,6 +70,9 @@ def pair_cosine(
     )
 
 
-def documents_of(corpus: DataFrame, ids: DataFrame) -> DataFrame:
-    """Texts of the given documents."""
-    return corpus.select("doc_id", "text").join(broadcast_if_small(ids.select("doc_id")), "doc_id", "left_semi")
+def documents_of(corpus: DataFrame, ids: DataFrame, fits: bool | None = None) -> DataFrame:
+    """Texts of the given documents; `ids` may repeat an id."""
+    wanted = ids.select("doc_id")
+    small = fits_broadcast(wanted) if fits is None else fits
+    side = F.broadcast(wanted) if small else wanted.distinct()
+    return corpus.select("doc_id", "text").join(side, "doc_id", "left_semi")

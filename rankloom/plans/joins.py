@@ -41,6 +41,16 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if fits_broadcast(df, limit) else df
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Rows of a plain scan placed by `key` when the scan has fewer splits than there are cores.
+
+    A large input has splits enough and is left alone.
+    """
+    if scan.rdd.getNumPartitions() >= scan.sparkSession.sparkContext.defaultParallelism:
+        return scan
+    return scan.repartition(key)
+
+
 def join_on_term(
     big: DataFrame, small: DataFrame, key: str, spread: str, fits: bool | None = None, salts: int = 16
 ) -> DataFrame:

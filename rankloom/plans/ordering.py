@@ -10,6 +10,7 @@ from rankloom.plans.staging import stage
 
 HASH_DIGITS_PER_STEP = 3
 SMALL_BUCKET = 4096
+SMALL_ROWS = 1_000_000
 
 
 def seeded_hash(id_column: str, seed: int, purpose: str) -> Column:
@@ -56,14 +57,24 @@ def first_by_hash(df: DataFrame, id_column: str, n: int, seed: int, purpose: str
     return df.filter(seeded_hash(id_column, seed, purpose) <= F.lit(threshold))
 
 
-def running_total(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
+def running_total(
+    df: DataFrame, group: list[str], order: list[str], value: str, name: str,
+    small_rows: int = SMALL_ROWS,
+) -> DataFrame:
     """Adds `before`: the sum of `value` over earlier rows of the same group.
 
-    Rows are range-partitioned on (group, order), written, totalled per slice, and each slice starts
-    from the total of the slices before it. No task sees more than one slice of a group.
+    Up to `small_rows` rows (counted) one window does it. Beyond that, rows are range-partitioned on
+    (group, order), written, totalled per slice, and each slice starts from the total of the slices
+    before it, so no task sees more than one slice of a group.
     """
+    written = stage(df, name)
+    if written.count() <= small_rows:
+        whole = Window.partitionBy(*group).orderBy(*order)
+        so_far = whole.rowsBetween(Window.unboundedPreceding, -1)
+        return written.withColumn("before", F.coalesce(F.sum(value).over(so_far), F.lit(0)))
     sliced = stage(
-        df.repartitionByRange(*group, *order).withColumn("_slice", F.spark_partition_id()), name
+        written.repartitionByRange(*group, *order).withColumn("_slice", F.spark_partition_id()),
+        f"{name}_sliced",
     )
     totals = sliced.groupBy("_slice", *group).agg(F.sum(value).alias("_sum"))
     earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -81,7 +92,10 @@ def running_total(df: DataFrame, group: list[str], order: list[str], value: str,
     )
 
 
-def number_rows(df: DataFrame, order: list[str], column: str, name: str) -> DataFrame:
+def number_rows(
+    df: DataFrame, order: list[str], column: str, name: str, small_rows: int = SMALL_ROWS
+) -> DataFrame:
     """Adds a 1-based position in the global order (`order` must identify a row)."""
-    counted = running_total(df.withColumn("_one", F.lit(1).cast("long")), [], order, "_one", name)
+    ones = df.withColumn("_one", F.lit(1).cast("long"))
+    counted = running_total(ones, [], order, "_one", name, small_rows)
     return counted.withColumn(column, F.col("before") + 1).drop("before", "_one")
