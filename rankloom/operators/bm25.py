@@ -25,11 +25,12 @@ EPSILON = 0.25
 
 SCORE_DIGITS = 6
 PAD_CHUNK = 8192
+PUSHED_TERMS = 64
 
 
 @dataclass(frozen=True)
 class BM25Index:
-    postings: DataFrame  # doc_id, dl, term, tf; bucketed by doc_id
+    postings: DataFrame  # doc_id, dl, term, tf; bucketed by doc_id, sorted by term
     doc_stats: DataFrame  # doc_id, dl
     term_df: DataFrame  # term, df
     n_docs: int
@@ -82,7 +83,7 @@ def build_index(
     )
     postings = occurrences.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     (
-        postings.write.bucketBy(buckets, "doc_id").sortBy("doc_id")
+        postings.write.bucketBy(buckets, "doc_id").sortBy("term")
         .option("path", f"{path}/postings").saveAsTable(_table_name())
     )
     written = _bucketed(spark, f"{path}/postings", postings, buckets)
@@ -92,7 +93,7 @@ def build_index(
     )
     (
         written.filter("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        .write.parquet(f"{path}/term_df")
+        .sortWithinPartitions("term").write.parquet(f"{path}/term_df")
     )
     totals = spark.read.parquet(f"{path}/doc_stats").agg(
         F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")
@@ -133,7 +134,7 @@ def _bucketed(spark: SparkSession, path: str, like: DataFrame, buckets: int) ->
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in like.schema.fields)
     spark.sql(
         f"CREATE TABLE {name} ({columns}) USING parquet "
-        f"CLUSTERED BY (doc_id) SORTED BY (doc_id) INTO {buckets} BUCKETS LOCATION '{path}'"
+        f"CLUSTERED BY (doc_id) SORTED BY (term) INTO {buckets} BUCKETS LOCATION '{path}'"
     )
     return spark.table(name)
 
@@ -146,25 +147,54 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def small_queries(queries: DataFrame) -> bool:
-    """Whether every per-query table (terms, lengths) is certain to fit a broadcast; one count."""
-    per_row = F.octet_length(F.coalesce("text", F.lit(""))) + F.size(tokens(F.col("text"))) * 56 + 64
-    size = queries.agg(F.coalesce(F.sum(per_row.cast("long")), F.lit(0))).first()[0]
-    return size <= BROADCAST_BYTES
+@dataclass(frozen=True)
+class QuerySide:
+    """What one count over a query table says about joining it."""
+
+    fits: bool  # every per-query table (terms, lengths) is certain to fit a broadcast
+    terms: list[str] | None  # the distinct terms, when there are few enough to filter a scan by
+
+
+def measure_queries(queries: DataFrame) -> QuerySide:
+    n_tokens = F.size(tokens(F.col("text")))
+    per_row = F.octet_length(F.coalesce("text", F.lit(""))) + n_tokens * 56 + 64
+    total = queries.agg(
+        F.coalesce(F.sum(per_row.cast("long")), F.lit(0)).alias("size"),
+        F.coalesce(F.sum(n_tokens), F.lit(0)).alias("n_tokens"),
+    ).first()
+    terms = None
+    if total["n_tokens"] <= PUSHED_TERMS:
+        terms = sorted(r["term"] for r in query_terms(queries).select("term").distinct().collect())
+    return QuerySide(total["size"] <= BROADCAST_BYTES, terms)
 
 
-def weighted_terms(index: BM25Index, terms: DataFrame, fits: bool) -> DataFrame:
+def _only(table: DataFrame, side: QuerySide) -> DataFrame:
+    """Few query terms become a scan filter: files are sorted by term, so all row groups without one
+    of the terms are skipped."""
+    if side.terms is None:
+        return table
+    wanted = F.lit(False)
+    for term in side.terms:
+        wanted = wanted | (F.col("term") == F.lit(term))
+    return table.filter(wanted)
+
+
+def weighted_postings(index: BM25Index, side: QuerySide) -> DataFrame:
+    """doc_id, term, weight of the postings that the queries can touch."""
+    return _only(index.postings, side).select("doc_id", "term", index.term_weight().alias("weight"))
+
+
+def weighted_terms(index: BM25Index, terms: DataFrame, side: QuerySide) -> DataFrame:
     """qid, term, qtf, idf for query terms the corpus knows; no larger than `terms`."""
-    side = F.broadcast(terms) if fits else terms
-    return index.term_stats.join(side, "term").select("qid", "term", "qtf", "idf")
+    asked = F.broadcast(terms) if side.fits else terms
+    return _only(index.term_stats, side).join(asked, "term").select("qid", "term", "qtf", "idf")
 
 
 def score_all(index: BM25Index, queries: DataFrame) -> DataFrame:
     """qid, doc_id, score for every document that holds a query term."""
-    fits = small_queries(queries)
-    terms = weighted_terms(index, query_terms(queries), fits)
-    weights = index.postings.select("doc_id", "term", index.term_weight().alias("weight"))
-    matched = join_on_term(weights, terms, "term", "doc_id", fits)
+    side = measure_queries(queries)
+    terms = weighted_terms(index, query_terms(queries), side)
+    matched = join_on_term(weighted_postings(index, side), terms, "term", "doc_id", side.fits)
     points = F.sum(F.col("qtf") * F.col("idf") * F.col("weight"))
     return matched.groupBy("qid", "doc_id").agg(F.round(points, SCORE_DIGITS).alias("score"))
 
@@ -231,22 +261,22 @@ def _top_k_with_negative_scores(index: BM25Index, queries: DataFrame, k: int) ->
 
 def pair_overlap(
     index: BM25Index, queries: DataFrame, pairs: DataFrame,
-    fits_queries: bool | None = None, fits_pairs: bool | None = None,
+    side: QuerySide | None = None, fits_pairs: bool | None = None,
 ) -> DataFrame:
     """qid, doc_id, common_terms, idf_overlap, score for given pairs that share at least one term.
 
-    Only postings of the pairs' documents are read. The `fits_*` flags say which sides may be
-    broadcast; they are counted here when not given.
+    Postings are cut to the pairs' documents before any shuffle. `side` and `fits_pairs` say what
+    may be broadcast; they are counted here when not given.
     """
     pairs = pairs.select("qid", "doc_id")
-    fits_queries = small_queries(queries) if fits_queries is None else fits_queries
+    side = side or measure_queries(queries)
     fits_pairs = fits_broadcast(pairs) if fits_pairs is None else fits_pairs
-    terms = weighted_terms(index, query_terms(queries), fits_queries)
+    terms = weighted_terms(index, query_terms(queries), side)
     ids = pairs.select("doc_id")
-    near = index.postings.join(
+    near = weighted_postings(index, side).join(
         F.broadcast(ids) if fits_pairs else ids.distinct(), "doc_id", "left_semi"
-    ).select("doc_id", "term", index.term_weight().alias("weight"))
-    pair_terms = pairs.join(F.broadcast(terms) if fits_queries else terms, "qid")
+    )
+    pair_terms = pairs.join(F.broadcast(terms) if side.fits else terms, "qid")
     return pair_terms.join(near, ["doc_id", "term"]).groupBy("qid", "doc_id").agg(
         F.count(F.lit(1)).alias("common_terms"),
         F.round(F.sum("idf"), 9).alias("idf_overlap"),

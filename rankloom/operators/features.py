@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import compress_score, guarded_ratio, tokens
-from rankloom.operators.bm25 import BM25Index, pair_overlap, score_candidates, small_queries
+from rankloom.operators.bm25 import (
+    BM25Index, QuerySide, measure_queries, pair_overlap, score_candidates,
+)
 from rankloom.operators.candidates import inference_pairs
 from rankloom.operators.semantic import pair_similarity
 from rankloom.operators.tfidf import documents_of, pair_cosine
@@ -27,16 +29,16 @@ def query_lengths(queries: DataFrame) -> DataFrame:
 
 def overlap_features(
     index: BM25Index, queries: DataFrame, pairs: DataFrame,
-    fits_queries: bool | None = None, fits_pairs: bool | None = None,
+    side: QuerySide | None = None, fits_pairs: bool | None = None,
 ) -> DataFrame:
     """qid, doc_id, common_terms, overlap_ratio, query_coverage, idf_overlap for every given pair."""
     pairs = pairs.select("qid", "doc_id")
-    fits_queries = small_queries(queries) if fits_queries is None else fits_queries
-    shared = pair_overlap(index, queries, pairs, fits_queries, fits_pairs).drop("score")
+    side = side or measure_queries(queries)
+    shared = pair_overlap(index, queries, pairs, side, fits_pairs).drop("score")
     lengths = query_lengths(queries)
     common = F.coalesce(F.col("common_terms").cast("double"), F.lit(0.0))
     return (
-        pairs.join(F.broadcast(lengths) if fits_queries else lengths, "qid")
+        pairs.join(F.broadcast(lengths) if side.fits else lengths, "qid")
         .join(shared, ["qid", "doc_id"], "left")
         .select(
             "qid", "doc_id",
@@ -50,16 +52,16 @@ def overlap_features(
 
 def length_features(
     index: BM25Index, queries: DataFrame, pairs: DataFrame,
-    fits_queries: bool | None = None, fits_pairs: bool | None = None,
+    side: QuerySide | None = None, fits_pairs: bool | None = None,
 ) -> DataFrame:
     """pairs + doc_length_feature, query_length_feature, length_ratio."""
-    fits_queries = small_queries(queries) if fits_queries is None else fits_queries
+    side = side or measure_queries(queries)
     fits_pairs = fits_broadcast(pairs) if fits_pairs is None else fits_pairs
     n_query, n_doc = F.col("n_tokens").cast("double"), F.col("dl").cast("double")
     lengths = query_lengths(queries)
     return (
         index.doc_stats.join(F.broadcast(pairs) if fits_pairs else pairs, "doc_id")
-        .join(F.broadcast(lengths) if fits_queries else lengths, "qid")
+        .join(F.broadcast(lengths) if side.fits else lengths, "qid")
         .select(
             *pairs.columns,
             compress_score(n_doc).alias("doc_length_feature"),
@@ -97,14 +99,14 @@ def build_frame(
     pairs' distinct documents only.
     """
     key = ["qid", "doc_id"]
-    fits_queries, fits_pairs = small_queries(queries), fits_broadcast(pairs)
+    side, fits_pairs = measure_queries(queries), fits_broadcast(pairs)
     documents = documents_of(corpus, pairs, fits_pairs)
     cosine = pair_cosine(pairs, queries, documents, vocabulary)
-    sized = length_features(index, queries, pairs, fits_queries, fits_pairs)
+    sized = length_features(index, queries, pairs, side, fits_pairs)
     frame = (
         retrieval_features(labels(sized, qrels))
         .join(cosine, key, "left")
-        .join(overlap_features(index, queries, pairs, fits_queries, fits_pairs), key)
+        .join(overlap_features(index, queries, pairs, side, fits_pairs), key)
         .withColumn("tfidf", F.coalesce("tfidf", F.lit(0.0)))
     )
     frame = pair_similarity(frame, query_vectors, document_vectors)

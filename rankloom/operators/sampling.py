@@ -38,8 +38,13 @@ def _kept_documents(
 
 
 def restrict_qrels(qrels: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Judgements whose document is in the corpus; queries left with none vanish."""
-    return qrels.join(corpus.select("doc_id"), "doc_id", "left_semi").select("qid", "doc_id", "grade")
+    """Judgements whose document is in the corpus; queries left with none vanish.
+
+    The corpus ids are first cut to the judged ones, so a large corpus is scanned but not shuffled.
+    """
+    judged_ids = broadcast_if_small(qrels.select("doc_id").distinct())
+    present = corpus.select("doc_id").join(judged_ids, "doc_id", "left_semi")
+    return qrels.join(present, "doc_id", "left_semi").select("qid", "doc_id", "grade")
 
 
 def eligible_queries(queries: DataFrame, qrels: DataFrame) -> DataFrame:

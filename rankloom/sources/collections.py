@@ -105,10 +105,11 @@ def input_contract(collection: Collection) -> DataFrame:
     def repeated(df: DataFrame, *keys: str) -> DataFrame:
         return df.groupBy(*keys).count().filter("count > 1")
 
-    doc_ids = broadcast_if_small(corpus.select("doc_id"))
-    qids = broadcast_if_small(queries.select("qid"))
-    judged_docs = qrels.filter("doc_id is not null").groupBy("doc_id").count()
-    judged_qids = qrels.filter("qid is not null").groupBy("qid").count()
+    judged_docs = qrels.filter("doc_id is not null").select("doc_id").distinct()
+    judged_qids = qrels.filter("qid is not null").select("qid").distinct()
+    # Corpus and query ids are cut to the judged ones before they meet a shuffle.
+    doc_ids = corpus.select("doc_id").join(broadcast_if_small(judged_docs), "doc_id", "left_semi")
+    qids = queries.select("qid").join(broadcast_if_small(judged_qids), "qid", "left_semi")
     checks = [
         count(corpus.filter("doc_id is null"), "corpus_null_id"),
         count(repeated(corpus, "doc_id"), "corpus_duplicate_id"),

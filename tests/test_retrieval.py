@@ -107,7 +107,7 @@ def test_negative_mean_idf_matches_brute_force(spark):
 def test_salted_join_gives_the_same_result(spark, toy, index, monkeypatch):
     expected = as_lists(bm25.top_k(index, toy.queries, 4))
     monkeypatch.setattr(bm25, "BROADCAST_BYTES", -1)
-    assert not bm25.small_queries(toy.queries)
+    assert not bm25.measure_queries(toy.queries).fits
     assert as_lists(bm25.top_k(index, toy.queries, 4)) == expected
 
 
@@ -138,6 +138,18 @@ def test_scoring_shuffles_only_the_best_rows(toy, index):
     assert above_scan.count("WindowGroupLimit") == 2
 
 
+def test_few_terms_filter_the_scan(spark, toy, index):
+    asked = toy.queries.filter("qid = 'q1'")
+    side = bm25.measure_queries(asked)
+    assert side.terms == ["best", "laptop"]
+    plan = bm25.score_all(index, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,laptop)" in plan.replace(" ", "")
+    long_query = spark.createDataFrame([(1, "w " * 65)], "qid long, text string")
+    assert bm25.measure_queries(long_query).terms is None
+    blank = spark.createDataFrame([("q", " ")], "qid string, text string")
+    assert [d for d, _ in as_lists(bm25.top_k(index, blank, 2))["q"]] == ["d1", "d2"]
+
+
 def test_size_check_decides_on_broadcast(spark):
     df = spark.range(1000).withColumn("text", F.lit("x" * 100))
     assert 130_000 < joins.measured_bytes(df) < 160_000
