@@ -22,7 +22,8 @@ def _compress(x: str) -> str:
 
 
 def _round(columns: list[str], digits: int = 6) -> str:
-    return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)
+    # Adding zero turns a rounded -0.0 into 0.0.
+    return ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in columns)
 
 
 def _words(source: str, key: str) -> str:
@@ -337,7 +338,7 @@ SEARCH_FIXED_ALPHA = "0.4::DOUBLE * lexical + 0.6::DOUBLE * learned"
 
 def _spearman() -> str:
     return """
-    SELECT feature_a, feature_b, round(round(coalesce(CASE WHEN isnan(c) THEN 0 ELSE c END, 0), 6), 5) AS correlation
+    SELECT feature_a, feature_b, round(round(coalesce(CASE WHEN isnan(c) THEN 0 ELSE c END, 0), 6), 5) + 0.0 AS correlation
     FROM (
       SELECT feature_a, feature_b,
              CASE WHEN min(ra) = max(ra) OR min(rb) = max(rb) THEN NULL ELSE corr(ra, rb) END AS c
@@ -442,7 +443,7 @@ STATEMENTS: dict[str, str] = {
     "semantic_similarity": """
         SELECT a.vec_id AS qid, a.vec_id + 1 AS doc_id,
                round(coalesce(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0.0), 6)
-               AS semantic_similarity
+               + 0.0 AS semantic_similarity
         FROM embeddings AS a LEFT JOIN embeddings AS b ON b.vec_id = a.vec_id + 1""",
     "vector_dot": """SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) AS squared
                      FROM embeddings""",
@@ -461,7 +462,7 @@ STATEMENTS: dict[str, str] = {
     "scaling": f"SELECT feature, {_round(['median', 'mean', 'std'])} FROM ({_scaling('clean_long')})",
     "impute_scale": "SELECT query_id, doc_id, " + ", ".join(
         f"round((f.{f} - (SELECT mean FROM scaling WHERE feature = '{f}')) / "
-        f"(SELECT std FROM scaling WHERE feature = '{f}'), 6) AS {f}" for f in FEATURE_COLUMNS
+        f"(SELECT std FROM scaling WHERE feature = '{f}'), 6) + 0.0 AS {f}" for f in FEATURE_COLUMNS
     ) + " FROM train_rows AS f",
     "class_weights": """SELECT label, count(*) AS n,
                         round((SELECT count(*) FROM train_rows) / (2.0::DOUBLE * count(*)), 6) AS weight
