@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import compress_score, guarded_ratio, tokens
@@ -27,47 +27,52 @@ def query_lengths(queries: DataFrame) -> DataFrame:
     )
 
 
-def overlap_features(
+def with_lengths(
     index: BM25Index, queries: DataFrame, pairs: DataFrame,
     side: QuerySide | None = None, fits_pairs: bool | None = None,
 ) -> DataFrame:
-    """qid, doc_id, common_terms, overlap_ratio, query_coverage, idf_overlap for every given pair."""
-    pairs = pairs.select("qid", "doc_id")
+    """pairs + n_tokens, n_terms of the query and dl of the document; unknown documents are dropped."""
     side = side or measure_queries(queries)
-    shared = pair_overlap(index, queries, pairs, side, fits_pairs).drop("score")
+    fits_pairs = fits_broadcast(pairs) if fits_pairs is None else fits_pairs
     lengths = query_lengths(queries)
-    common = F.coalesce(F.col("common_terms").cast("double"), F.lit(0.0))
-    return (
-        pairs.join(F.broadcast(lengths) if side.fits else lengths, "qid")
-        .join(shared, ["qid", "doc_id"], "left")
-        .select(
-            "qid", "doc_id",
-            common.alias("common_terms"),
-            guarded_ratio(common, F.col("n_terms")).alias("overlap_ratio"),
-            guarded_ratio(common, F.col("n_tokens")).alias("query_coverage"),
-            F.coalesce("idf_overlap", F.lit(0.0)).alias("idf_overlap"),
-        )
+    return index.doc_stats.join(F.broadcast(pairs) if fits_pairs else pairs, "doc_id").join(
+        F.broadcast(lengths) if side.fits else lengths, "qid"
     )
 
 
-def length_features(
-    index: BM25Index, queries: DataFrame, pairs: DataFrame,
-    side: QuerySide | None = None, fits_pairs: bool | None = None,
-) -> DataFrame:
-    """pairs + doc_length_feature, query_length_feature, length_ratio."""
-    side = side or measure_queries(queries)
-    fits_pairs = fits_broadcast(pairs) if fits_pairs is None else fits_pairs
+def overlap_columns() -> list[Column]:
+    common = F.coalesce(F.col("common_terms").cast("double"), F.lit(0.0))
+    return [
+        common.alias("common_terms"),
+        guarded_ratio(common, F.col("n_terms")).alias("overlap_ratio"),
+        guarded_ratio(common, F.col("n_tokens")).alias("query_coverage"),
+        F.coalesce("idf_overlap", F.lit(0.0)).alias("idf_overlap"),
+    ]
+
+
+def length_columns() -> list[Column]:
     n_query, n_doc = F.col("n_tokens").cast("double"), F.col("dl").cast("double")
-    lengths = query_lengths(queries)
-    return (
-        index.doc_stats.join(F.broadcast(pairs) if fits_pairs else pairs, "doc_id")
-        .join(F.broadcast(lengths) if side.fits else lengths, "qid")
-        .select(
-            *pairs.columns,
-            compress_score(n_doc).alias("doc_length_feature"),
-            compress_score(n_query).alias("query_length_feature"),
-            guarded_ratio(n_query, n_doc).alias("length_ratio"),
-        )
+    return [
+        compress_score(n_doc).alias("doc_length_feature"),
+        compress_score(n_query).alias("query_length_feature"),
+        guarded_ratio(n_query, n_doc).alias("length_ratio"),
+    ]
+
+
+def overlap_features(index: BM25Index, queries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """qid, doc_id, common_terms, overlap_ratio, query_coverage, idf_overlap for every given pair."""
+    pairs = pairs.select("qid", "doc_id")
+    side, fits_pairs = measure_queries(queries), fits_broadcast(pairs)
+    shared = pair_overlap(index, queries, pairs, side, fits_pairs)
+    return with_lengths(index, queries, pairs, side, fits_pairs).join(
+        shared, ["qid", "doc_id"], "left"
+    ).select("qid", "doc_id", *overlap_columns())
+
+
+def length_features(index: BM25Index, queries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """qid, doc_id, doc_length_feature, query_length_feature, length_ratio for every given pair."""
+    return with_lengths(index, queries, pairs.select("qid", "doc_id")).select(
+        "qid", "doc_id", *length_columns()
     )
 
 
@@ -100,17 +105,16 @@ def build_frame(
     """
     key = ["qid", "doc_id"]
     side, fits_pairs = measure_queries(queries), fits_broadcast(pairs)
-    documents = documents_of(corpus, pairs, fits_pairs)
-    cosine = pair_cosine(pairs, queries, documents, vocabulary)
-    sized = length_features(index, queries, pairs, side, fits_pairs)
-    frame = (
-        retrieval_features(labels(sized, qrels))
-        .join(cosine, key, "left")
-        .join(overlap_features(index, queries, pairs, side, fits_pairs), key)
-        .withColumn("tfidf", F.coalesce("tfidf", F.lit(0.0)))
-    )
+    cosine = pair_cosine(pairs, queries, documents_of(corpus, pairs, fits_pairs), vocabulary)
+    shared = pair_overlap(index, queries, pairs, side, fits_pairs).drop("score")
+    sized = with_lengths(index, queries, pairs, side, fits_pairs)
+    frame = retrieval_features(labels(sized, qrels)).join(shared, key, "left").join(cosine, key, "left")
     frame = pair_similarity(frame, query_vectors, document_vectors)
-    return frame.withColumnRenamed("qid", "query_id").select(*FRAME_COLUMNS)
+    computed = {"common_terms", "idf_overlap", "tfidf", "n_tokens", "n_terms", "dl"}
+    return frame.select(
+        *[c for c in frame.columns if c not in computed],
+        F.coalesce("tfidf", F.lit(0.0)).alias("tfidf"), *overlap_columns(), *length_columns(),
+    ).withColumnRenamed("qid", "query_id").select(*FRAME_COLUMNS)
 
 
 def build_inference_frame(
