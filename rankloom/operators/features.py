@@ -120,12 +120,15 @@ def build_frame(
 def build_inference_frame(
     candidates: DataFrame, corpus: DataFrame, queries: DataFrame, index: BM25Index,
     vocabulary: DataFrame, split: str = "inference", query_vectors: DataFrame | None = None,
-    document_vectors: DataFrame | None = None,
+    document_vectors: DataFrame | None = None, true_scores: DataFrame | None = None,
 ) -> DataFrame:
-    """Frame of candidates (qid, doc_id, pos) for unjudged queries: true BM25 scores, label 0."""
-    pairs = stage(
-        inference_pairs(candidates, score_candidates(index, queries, candidates), split), "pairs"
-    )
+    """Frame of candidates (qid, doc_id, pos) for unjudged queries: true BM25 scores, label 0.
+
+    Candidates that come from retrieval have their true scores already; handing them in as
+    `true_scores` (qid, doc_id, score) saves a pass over the postings.
+    """
+    scores = score_candidates(index, queries, candidates) if true_scores is None else true_scores
+    pairs = stage(inference_pairs(candidates, scores, split), "pairs")
     return build_frame(
         pairs, corpus, queries, index, vocabulary, None, query_vectors, document_vectors
     )
