@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import decontaminate, mixture, sharding, url_filter
+from rankloom.llm import decontaminate, jaccard, mixture, packing, sharding, url_filter
 
 #: The rules of the registered url query, as (host, path, verdict).
 URL_RULES = [
@@ -30,6 +30,15 @@ def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_token_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_tokens(table(spark, folder, "documents"))
+
+
+def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    joined = jaccard.join_documents(table(spark, folder, "documents"))
+    return joined.select("doc_id", "class_id", "n_links", "component_id", "kept")
+
+
 def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", mixture.word_count().alias("size"))
     mixed = mixture.mix(mixture.quality_weights(docs, table(spark, folder, "labels")))
@@ -50,6 +59,8 @@ def op9_hilbert_sharding(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_url_filter": op2_url_filter,
+    "op3_token_packing": op3_token_packing,
+    "op5_jaccard_join": op5_jaccard_join,
     "op8_source_mixing": op8_source_mixing,
     "op9_hilbert_sharding": op9_hilbert_sharding,
 }
