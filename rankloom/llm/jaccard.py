@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.links import LINKED, block_pairs, connected_components, groups_of, linked_batch, pairs_of
+from rankloom.llm.links import LINKED, Tally, block_pairs, connected_components, groups_of, pairs_of
 from rankloom.llm.text import prepare_python, text_key, utf8, words_of
 from rankloom.plans.joins import broadcast_if_small
 from rankloom.plans.staging import stage
@@ -262,17 +262,13 @@ def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
             band, low, high = (group.column(i)[0].as_py() for i in (0, 2, 3))
             own, sizes = _matrix(group.column("signature")), group.column("n").to_numpy().astype(np.int64)
             sets = [np.frombuffer(b, dtype=np.uint64) for b in group.column("shingles").to_pylist()]
-            left, right = [], []
+            tally = Tally(group.column("node").to_pylist(), group.column("members").to_numpy())
             for first, second in pairs_of(group.column("_block").to_numpy(), low != high):
                 first, second = surviving(first, second, own, sizes, band, threshold, limits)
                 if len(first):
                     true = verified(first, second, sets, sizes, ratio)
-                    left.append(first[true])
-                    right.append(second[true])
-            if sum(map(len, left)):
-                yield linked_batch(
-                    group.column("node").to_pylist(), group.column("members").to_numpy(), np.concatenate(left), np.concatenate(right)
-                )
+                    tally.add(first[true], second[true])
+            yield from tally.batches()
 
     weights = stage(
         found.join(sets.select("node", "n"), "node").groupBy("band", "bucket").agg(

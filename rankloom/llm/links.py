@@ -85,22 +85,36 @@ def local_roots(count: int, first: np.ndarray, second: np.ndarray) -> np.ndarray
         roots = new
 
 
-def linked_batch(nodes: list[bytes], weights: np.ndarray, first: np.ndarray, second: np.ndarray) -> pa.RecordBatch:
-    """A row for each member with a link: the weight linked to, and the root of its local component."""
-    count = len(nodes)
-    links = np.bincount(first, weights=weights[second], minlength=count) + np.bincount(
-        second, weights=weights[first], minlength=count
-    )
-    roots = local_roots(count, first, second)
-    own = np.union1d(first, second).tolist()
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([nodes[i] for i in own], type=pa.binary()),
-            pa.array(links[own].astype(np.int64)),
-            pa.array([nodes[roots[i]] for i in own], type=pa.binary()),
-        ],
-        names=["node", "links", "root"],
-    )
+class Tally:
+    """Links of one task's members, added in chunks of pairs; keeps one root for each member, not the pairs."""
+
+    def __init__(self, nodes: list[bytes], weights: np.ndarray):
+        self.nodes, self.weights = nodes, weights.astype(np.float64)
+        self.links, self.roots = np.zeros(len(nodes)), np.arange(len(nodes))
+        self.seen = np.zeros(len(nodes), dtype=bool)
+
+    def add(self, first: np.ndarray, second: np.ndarray) -> None:
+        if not len(first):
+            return
+        count = len(self.nodes)
+        self.links += np.bincount(first, weights=self.weights[second], minlength=count)
+        self.links += np.bincount(second, weights=self.weights[first], minlength=count)
+        self.seen[first] = self.seen[second] = True
+        own = np.arange(count)
+        self.roots = local_roots(count, np.concatenate([own, first]), np.concatenate([self.roots, second]))
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """A row for each member with a link: the weight linked to, and the root of its local component."""
+        own = np.flatnonzero(self.seen).tolist()
+        if own:
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([self.nodes[i] for i in own], type=pa.binary()),
+                    pa.array(self.links[own].astype(np.int64)),
+                    pa.array([self.nodes[self.roots[i]] for i in own], type=pa.binary()),
+                ],
+                names=["node", "links", "root"],
+            )
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import decontaminate, jaccard, mixture, packing, sharding, url_filter
+from rankloom.llm import decontaminate, embedding_join, jaccard, mixture, packing, sharding, url_filter
 
 #: The rules of the registered url query, as (host, path, verdict).
 URL_RULES = [
@@ -56,6 +56,10 @@ def op9_hilbert_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_embedding_join(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_join.near_duplicates(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_url_filter": op2_url_filter,
@@ -63,4 +67,5 @@ QUERIES = {
     "op5_jaccard_join": op5_jaccard_join,
     "op8_source_mixing": op8_source_mixing,
     "op9_hilbert_sharding": op9_hilbert_sharding,
+    "op10_embedding_join": op10_embedding_join,
 }
