@@ -25,7 +25,7 @@ from rankloom.plans.staging import stage
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_EPOCHS = 2
-ROWS_PER_INTERVAL = 20_000
+ROWS_PER_INTERVAL = 2_000
 QUALITY_WEIGHTS = {1: 2.0, 0: 0.5}
 
 

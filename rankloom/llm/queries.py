@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import decontaminate, embedding_join, jaccard, mixture, packing, sharding, url_filter
+from rankloom.llm import decontaminate, embedding_join, jaccard, mixture, packing, quality, sharding, url_filter
 
 #: The rules of the registered url query, as (host, path, verdict).
 URL_RULES = [
@@ -34,6 +34,12 @@ def op3_token_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_tokens(table(spark, folder, "documents"))
 
 
+def op4_quality_cotraining(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = quality.score_quality(docs, quality.fit_quality(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", "quality.*")
+
+
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     joined = jaccard.join_documents(table(spark, folder, "documents"))
     return joined.select("doc_id", "class_id", "n_links", "component_id", "kept")
@@ -64,6 +70,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_url_filter": op2_url_filter,
     "op3_token_packing": op3_token_packing,
+    "op4_quality_cotraining": op4_quality_cotraining,
     "op5_jaccard_join": op5_jaccard_join,
     "op8_source_mixing": op8_source_mixing,
     "op9_hilbert_sharding": op9_hilbert_sharding,

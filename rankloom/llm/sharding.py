@@ -25,7 +25,7 @@ from rankloom.plans.staging import stage
 SHARDS = 24
 BITS = 4
 ROW_BYTES = 8
-ROWS_PER_GROUP = 20_000
+ROWS_PER_GROUP = 1_000
 DIMENSIONS = 3
 
 
