@@ -20,18 +20,17 @@ judged; an empty table gives no rows; other columns pass through.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT, Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.text import prepare_python, utf8, words_of
 from rankloom.plans.joins import broadcast_if_small
-from rankloom.plans.staging import stage
+from rankloom.llm.tables import stage
 
 FIT_ROWS = 20_000
 POOL_ROWS = 20_000
@@ -40,8 +39,8 @@ CONFIDENT = 0.98
 KEEP_FROM = 0.3
 FOLDS = 5
 WORD_BITS = 17
-#: (penalty, share of it that is L1, iterations) of each view; L1 leaves few of the many words with a weight.
-FITTING = {"content": (3e-4, 1.0, 60), "layout": (1e-4, 0.0, 30)}
+#: (L1 penalty, L2 penalty, steps) of each view; L1 leaves few of the many words with a weight.
+FITTING = {"content": (3e-4, 0.0, 120), "layout": (0.0, 1e-4, 100)}
 
 #: Steps into which each layout share is cut, so that a linear model can bend.
 STEPS = np.array([0.0005, 0.002, 0.01, 0.03, 0.06, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])
@@ -86,106 +85,172 @@ def layout_view(raw: bytes | None, lang: str | None, source: str | None, n_chars
     return places[order], values[order]
 
 
-def _vector(size: int, view) -> SparseVector:
-    places, values = view
-    return Vectors.sparse(size, places.tolist(), values.tolist())
-
-
-def _features(rows: DataFrame) -> DataFrame:
-    """Adds the two views as vectors; for samples only."""
-    content = F.udf(lambda raw: _vector(1 << WORD_BITS, content_view(raw)), VectorUDT())
-    layout = F.udf(lambda raw, lang, source, n: _vector(LAYOUT, layout_view(raw, lang, source, n)), VectorUDT())
-    return rows.withColumn("content", content(utf8("text"))).withColumn(
-        "layout", layout(utf8("text"), "lang", "source", "n_chars")
-    )
+def sparse_rows(values: pa.ListArray, numbers: pa.ListArray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, places, values) of rows given as lists of places, with ones where no values are given."""
+    lengths = values.value_lengths().to_numpy(zero_copy_only=False)
+    places = values.flatten().to_numpy()
+    weights = np.ones(len(places)) if numbers is None else numbers.flatten().to_numpy()
+    return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), places, weights
+
+
+def _log_odds(rows, model: tuple[np.ndarray, float]) -> np.ndarray:
+    starts, places, values = rows
+    total = np.concatenate([[0.0], np.cumsum(model[0][places] * values)])
+    return total[starts[1:]] - total[starts[:-1]] + model[1]
+
+
+def fit_logistic(rows, good: np.ndarray, size: int, l1: float, l2: float, steps: int) -> tuple[np.ndarray, float]:
+    """Logistic regression by accelerated proximal gradient steps.
+
+    Each coefficient has a step of its own, from the bound sum_i |x_ij| sum_k |x_ik| on the curvature, so
+    that rare words move as fast as frequent ones.
+    """
+    starts, places, values = rows
+    count, lengths = len(good), np.diff(starts)
+    owner = np.repeat(np.arange(count), lengths)
+    mass = np.bincount(owner, weights=np.abs(values), minlength=count) + 1
+    curve = np.bincount(places, weights=np.abs(values) * mass[owner], minlength=size) / (4 * count) + l2 + 1e-12
+    start_curve = mass.sum() / (4 * count)
+    now, shift = np.zeros(size), 0.0
+    ahead, ahead_shift, pace = now, shift, 1.0
+    for _ in range(steps):
+        off = 1 / (1 + np.exp(-_log_odds(rows, (ahead, ahead_shift)))) - good
+        slope = np.bincount(places, weights=off[owner] * values, minlength=size) / count + l2 * ahead
+        moved = ahead - slope / curve
+        moved = np.sign(moved) * np.maximum(np.abs(moved) - l1 / curve, 0)
+        moved_shift = ahead_shift - off.mean() / start_curve
+        if ((ahead - moved) * curve) @ (moved - now) > 0:  # the momentum points uphill
+            pace = 1.0
+        faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        ahead = moved + (pace - 1) / faster * (moved - now)
+        ahead_shift = moved_shift + (pace - 1) / faster * (moved_shift - shift)
+        now, shift, pace = moved, moved_shift, faster
+    return now, shift
+
+
+def fit_line(columns: np.ndarray, good: np.ndarray, steps: int = 30) -> np.ndarray:
+    """Coefficients (the last is the intercept) of a logistic regression on a few columns, by Newton steps."""
+    design = np.column_stack([columns, np.ones(len(columns))])
+    line = np.zeros(design.shape[1])
+    for _ in range(steps):
+        chance = 1 / (1 + np.exp(-np.clip(design @ line, -30, 30)))
+        curve = (design * (chance * (1 - chance))[:, None]).T @ design / len(good) + 1e-6 * np.eye(len(line))
+        line = line - np.linalg.solve(curve, design.T @ (chance - good) / len(good) + 1e-6 * line)
+    return line
+
+
+def co_train(views: dict, good: np.ndarray, part: np.ndarray, rounds: int, confident: float):
+    """Both views' models, their calibration and the combination, from rows in `part` train, held or pool."""
+
+    def rows_of(view: str, chosen: np.ndarray):
+        starts, places, values = views[view]
+        lengths = np.diff(starts)[chosen]
+        at = np.repeat(starts[chosen] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
+        return np.concatenate([[0], np.cumsum(lengths)]), places[at], values[at]
+
+    sizes = {"content": 1 << WORD_BITS, "layout": LAYOUT}
+    train, held, pool = (np.flatnonzero(part == name) for name in ("train", "held", "pool"))
+    told = {view: (train, good[train]) for view in sizes}
+    edge = math.log(confident / (1 - confident))
+    models: dict = {}
+    for number in range(rounds + 1):
+        for view, size in sizes.items():
+            models[view] = fit_logistic(rows_of(view, told[view][0]), told[view][1], size, *FITTING[view])
+        if number < rounds and len(pool):
+            for own, other in (("content", "layout"), ("layout", "content")):
+                odds = _log_odds(rows_of(other, pool), models[other])
+                sure = np.abs(odds) >= edge
+                told[own] = np.concatenate([train, pool[sure]]), np.concatenate([good[train], (odds[sure] > 0) * 1.0])
+    odds = {view: _log_odds(rows_of(view, held), models[view]) for view in sizes}
+    scales = {view: fit_line(odds[view][:, None], good[held]) for view in sizes}
+    calibrated = np.column_stack([odds[view] * scales[view][0] + scales[view][1] for view in sizes])
+    return models, scales, fit_line(calibrated, good[held])
 
 
 def _sample(rows: DataFrame, most: int) -> DataFrame:
-    """At most about `most` rows, by a hash of the id and text."""
+    """At most about `most` rows, by a hash of the id."""
     count = rows.count()
     if count <= most:
         return rows
     return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(most / count * (1 << 20)))
 
 
-def _fit(rows: DataFrame, view: str, penalty: float, l1: float, iterations: int):
-    return LogisticRegression(
-        featuresCol=view, labelCol="good", regParam=penalty, elasticNetParam=l1, maxIter=iterations, tol=1e-5,
-        standardization=False, predictionCol="_p", rawPredictionCol="_r", probabilityCol="_s",
-    ).fit(rows)
-
-
-def _log_odds(rows: DataFrame, models: dict) -> DataFrame:
-    first = F.udf(lambda v: float(v[1]), "double")
-    for view, model in models.items():
-        scored = model.transform(rows)
-        rows = scored.withColumn(f"odds_{view}", first("_r")).drop("_r", "_s", "_p")
-    return rows
+class QualityModel:
+    """Coefficients and intercept of both views, (slope, shift) of their calibration, and the combination."""
 
+    def __init__(self, views: dict[str, tuple[np.ndarray, float]], scales: dict[str, list[float]], mix: list[float]):
+        self.views, self.scales, self.mix = views, scales, mix
 
-def _line(rows: DataFrame, columns: list[str]) -> tuple[list[float], float]:
-    """Coefficients of a logistic regression of `good` on a few columns."""
-    from pyspark.ml.feature import VectorAssembler
 
-    assembled = VectorAssembler(inputCols=columns, outputCol="line").transform(rows)
-    model = _fit(assembled, "line", 1e-6, 0.0, 50)
-    return [float(x) for x in model.coefficients], float(model.intercept)
+_VIEWS = pa.struct([("content", pa.list_(pa.int64())), ("layout", pa.list_(pa.int64())), ("numbers", pa.list_(pa.float64()))])
 
 
-class QualityModel:
-    """Coefficients of both views, their calibration and the combination."""
-
-    def __init__(self, views: dict[str, tuple[np.ndarray, float]], scales: dict[str, tuple[float, float]], mix: tuple):
-        self.views, self.scales, self.mix = views, scales, mix
+def _both_views(texts: pa.Array, langs: pa.Array, sources: pa.Array, sizes: pa.Array) -> pa.Array:
+    out = []
+    for raw, *facts in zip(texts.to_pylist(), langs.to_pylist(), sources.to_pylist(), sizes.to_pylist()):
+        places, values = layout_view(raw, *facts)
+        out.append({"content": content_view(raw)[0].tolist(), "layout": places.tolist(), "numbers": values.tolist()})
+    return pa.array(out, type=_VIEWS)
 
 
 def fit_quality(
     docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS,
     confident: float = CONFIDENT,
 ) -> QualityModel | None:
-    """Co-trains on samples of bounded size; None if the labels don't hold both classes."""
-    prepare_python(docs.sparkSession)
-    good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
+    """Co-trains on samples of bounded size; None if the labels don't hold both classes.
+
+    The samples' features (about 1 KB for each document) are made in parallel, written, and fitted in one
+    task, whose input the two bounds limit; a fixed number of coefficients comes back.
+    """
+    spark = docs.sparkSession
+    prepare_python(spark)
+    is_good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(
-        F.min(F.when(good, 1.0).otherwise(0.0)).alias("good")
+        F.min(F.when(is_good, 1.0).otherwise(0.0)).alias("good")
     )
     columns = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    picked = stage(_sample(known, fit_rows), "quality_known")
     fold = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(FOLDS))
-    labelled = stage(
-        _features(columns.join(broadcast_if_small(picked), "doc_id").withColumn("fold", fold)).select("good", "fold", "content", "layout"),
-        "quality_labelled",
+    labelled = columns.join(broadcast_if_small(stage(_sample(known, fit_rows), "quality_known")), "doc_id").withColumn(
+        "part", F.when(fold == 0, "held").otherwise("train")
     )
-    train, held = labelled.filter("fold > 0"), labelled.filter("fold = 0")
-    if any(part.select("good").distinct().count() < 2 for part in (train, held)):
-        return None
-    ids = known.select("doc_id")
-    rest = _sample(columns.select("doc_id").join(broadcast_if_small(ids), "doc_id", "left_anti"), pool_rows).distinct()
-    chosen = stage(rest, "quality_rest")
-    pool = stage(
-        _features(columns.join(broadcast_if_small(chosen), "doc_id")).select("content", "layout"), "quality_pool"
+    ids = columns.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
+    rest = _sample(ids.join(broadcast_if_small(known.select("doc_id")), "doc_id", "left_anti"), pool_rows)
+    pool = columns.join(broadcast_if_small(stage(rest, "quality_rest")), "doc_id").withColumns(
+        {"good": F.lit(0.0), "part": F.lit("pool")}
     )
-    views = ("content", "layout")
-    seen = {view: train.select("good", view) for view in views}
-    models = {view: _fit(seen[view], view, *FITTING[view]) for view in views}
-    edge = math.log(confident / (1 - confident))
-    for number in range(rounds):
-        judged = stage(_log_odds(pool, models), f"quality_round{number}")
-        for own, other in (views, views[::-1]):
-            told = judged.filter(F.abs(F.col(f"odds_{other}")) >= edge).select(
-                (F.col(f"odds_{other}") > 0).cast("double").alias("good"), own
-            )
-            seen[own] = train.select("good", own).unionByName(told)
-        models = {view: _fit(seen[view], view, *FITTING[view]) for view in views}
-    odds = stage(_log_odds(held, models).select("good", *[f"odds_{v}" for v in views]), "quality_held")
-    scales = {}
-    for view in views:
-        (slope,), shift = _line(odds, [f"odds_{view}"])
-        scales[view] = (slope, shift)
-        odds = odds.withColumn(f"cal_{view}", F.col(f"odds_{view}") * slope + shift)
-    mix = _line(odds, [f"cal_{v}" for v in views])
-    coefficients = {v: (np.array(models[v].coefficients.toArray()), float(models[v].intercept)) for v in views}
-    return QualityModel(coefficients, scales, mix)
+    both = labelled.unionByName(pool)
+    seen = F.arrow_udf(_both_views, "struct<content: array<bigint>, layout: array<bigint>, numbers: array<double>>")
+    sample = stage(
+        both.select("good", "part", seen(utf8("text"), F.col("lang"), F.col("source"), F.col("n_chars")).alias("v")).select(
+            "good", "part", "v.*"
+        ),
+        "quality_sample",
+    )
+    classes = {(r["part"], r["good"]) for r in sample.filter("part <> 'pool'").select("part", "good").distinct().collect()}
+    if len(classes) < 4:
+        return None
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)).combine_chunks()
+        column = {name: rows.column(name).combine_chunks() for name in rows.column_names}
+        views = {
+            "content": sparse_rows(column["content"], None), "layout": sparse_rows(column["layout"], column["numbers"])
+        }
+        part = np.array(column["part"].to_pylist())
+        models, scales, mix = co_train(views, column["good"].to_numpy(), part, rounds, confident)
+        values = [[view, [*models[view][0], models[view][1]], list(scales[view])] for view in views] + [["mix", [], list(mix)]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([v[k] for v in values], type=t) for k, t in enumerate((pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64())))],
+            names=["view", "model", "line"],
+        )
+
+    fitted = {
+        row["view"]: row
+        for row in sample.repartition(1).sortWithinPartitions("part", "good", "content", "layout").mapInArrow(
+            fit, "view string, model array<double>, line array<double>").collect()
+    }
+    models = {v: (np.array(fitted[v]["model"][:-1]), fitted[v]["model"][-1]) for v in ("content", "layout")}
+    return QualityModel(models, {v: list(fitted[v]["line"]) for v in models}, list(fitted["mix"]["line"]))
 
 
 def score_quality(docs: DataFrame, model: QualityModel | None, keep_from: float = KEEP_FROM) -> DataFrame:
@@ -212,7 +277,7 @@ def score_quality(docs: DataFrame, model: QualityModel | None, keep_from: float
     odds = F.arrow_udf(judge, "struct<content: double, layout: double>")(utf8("text"), F.col("lang"), F.col("source"), F.col("n_chars"))
     scored = docs.withColumn("_odds", odds)
     calibrated = {v: F.col("_odds")[v] * slope + shift for v, (slope, shift) in model.scales.items()}
-    weights, shift = model.mix
+    *weights, shift = model.mix
     total = sum((w * calibrated[v] for w, v in zip(weights, calibrated)), F.lit(shift))
     chance = lambda x: 1 / (1 + F.exp(-x))
     return scored.withColumn(
