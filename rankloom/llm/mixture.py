@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from rankloom.plans.joins import broadcast_if_small
 from rankloom.plans.ordering import number_rows, running_total
-from rankloom.plans.staging import stage
+from rankloom.llm.tables import stage
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -98,7 +98,7 @@ def mix(
     A document on the edge of its source's budget is taken if that brings the sum nearer to the target.
     Equal keys are put in the order of id and size; rows equal in both are interchangeable.
     """
-    held = stage(docs, "mix_docs")
+    held = stage(docs, "mix_docs", "snappy")
     targets = stage(source_targets(held.select("source", "size"), weights, share, most), "mix_targets")
     counted = held.agg(F.count("*").alias("rows"), F.avg("weight").alias("weight")).first()
     intervals, usual = 64, counted["weight"] or 1.0
