@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import decontaminate, embedding_join, jaccard, mixture, packing, quality, sharding, url_filter
+from rankloom.llm import decontaminate, embedding_join, jaccard, licences, line_dedup, mixture, packing, quality, sharding, url_filter
+from rankloom.llm.licence_texts import TEXTS
 
 #: The rules of the registered url query, as (host, path, verdict).
 URL_RULES = [
@@ -45,6 +46,16 @@ def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select("doc_id", "class_id", "n_links", "component_id", "kept")
 
 
+def op6_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    known = spark.createDataFrame(TEXTS, "licence string, text string")
+    return licences.scan_licences(table(spark, folder, "documents"), known)
+
+
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "deduped.n_lines", "deduped.n_gone", "deduped.text")
+
+
 def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", mixture.word_count().alias("size"))
     mixed = mixture.mix(mixture.quality_weights(docs, table(spark, folder, "labels")))
@@ -72,6 +83,8 @@ QUERIES = {
     "op3_token_packing": op3_token_packing,
     "op4_quality_cotraining": op4_quality_cotraining,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_licence_scan": op6_licence_scan,
+    "op7_line_dedup": op7_line_dedup,
     "op8_source_mixing": op8_source_mixing,
     "op9_hilbert_sharding": op9_hilbert_sharding,
     "op10_embedding_join": op10_embedding_join,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from rankloom.llm.licence_texts import SPELLINGS, TEXTS
+
 _WORDS = (
     "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
     r" '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -101,4 +103,54 @@ SELECT doc_id, size, CAST(total AS BIGINT) AS source_size, target, CAST(n * size
   CAST(n AS BIGINT) AS times FROM times
 """
 
-ORACLE = {"op1_decontamination": OP1, "op2_url_filter": OP2, "op8_source_mixing": OP8}
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _respelled(column: str) -> str:
+    for given, usual in SPELLINGS:
+        column = f"regexp_replace({column}, {_quoted(chr(92) + 'b' + given + chr(92) + 'b')}, {_quoted(usual)}, 'g')"
+    return column
+
+
+_FOLDED = (
+    r"CASE WHEN regexp_matches(line, '(?i)^[^\p{L}\p{N}©(]*(copyright\b|\(c\)|©|all rights reserved)') THEN ''"
+    r" ELSE trim(regexp_replace(lower(line), '[^\p{L}\p{N}]+', ' ', 'g')) END"
+)
+
+OP6 = f"""
+WITH known_texts(n, licence, text) AS (VALUES {", ".join(f"({i}, {_quoted(name)}, {_quoted(text)})" for i, (name, text) in enumerate(TEXTS))}),
+units AS (
+  SELECT 'known' AS kind, n AS r, NULL AS doc_id, licence, text FROM known_texts
+  UNION ALL SELECT 'doc', row_number() OVER (), doc_id, NULL, text FROM documents
+),
+lines AS (
+  SELECT kind, r, i, string_split_regex(coalesce(text, ''), '\r?\n|\r')[i] AS line
+  FROM units, unnest(range(1, len(string_split_regex(coalesce(text, ''), '\r?\n|\r')) + 1)) AS t(i)
+),
+folded AS (SELECT kind, r, i, {_FOLDED} AS words FROM lines),
+wholes AS (
+  SELECT kind, r, {_respelled("string_agg(words, ' ' ORDER BY i)")} AS whole FROM folded WHERE words <> '' GROUP BY kind, r
+),
+known AS (
+  SELECT md5(whole) AS digest, min(licence) AS licence
+  FROM wholes w JOIN units u ON u.kind = w.kind AND u.r = w.r WHERE w.kind = 'known' GROUP BY 1
+),
+notices AS (
+  SELECT r, list_sort(list(DISTINCT licence)) AS notices
+  FROM (SELECT r, md5({_respelled("words")}) AS digest FROM folded WHERE kind = 'doc' AND words <> '') JOIN known USING (digest)
+  GROUP BY r
+)
+SELECT u.doc_id, md5(whole) AS digest, k.licence, coalesce(notices, CAST([] AS VARCHAR[])) AS notices,
+  k.licence IS NOT NULL OR notices IS NOT NULL AS found
+FROM (SELECT * FROM units WHERE kind = 'doc') u
+LEFT JOIN (SELECT r, whole FROM wholes WHERE kind = 'doc') w USING (r)
+LEFT JOIN (SELECT digest AS d, licence FROM known) k ON md5(whole) = d
+LEFT JOIN notices USING (r)
+"""
+
+ORACLE = {
+    "op1_decontamination": OP1, "op2_url_filter": OP2, "op6_licence_scan": OP6,
+    "op8_source_mixing": OP8
+}
