@@ -161,7 +161,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, name: str = "dedupe
     gone = repeated_lines(docs, min_chars).select(
         F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key"), F.col("gone").alias("_gone")
     )
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.unhex(text_key()).alias("_key"))
+    rows = docs.drop(name).select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.unhex(text_key()).alias("_key"))
     joined = rows.join(
         broadcast_if_small(stage(gone, "line_gone"), BROADCAST_BYTES),
         (F.col("_key") == F.col("_gone_key")) & F.col("_id").eqNullSafe(F.col("_gone_id")), "left",
