@@ -150,7 +150,78 @@ LEFT JOIN (SELECT digest AS d, licence FROM known) k ON md5(whole) = d
 LEFT JOIN notices USING (r)
 """
 
+
+OP5 = f"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS s
+  FROM docs, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0
+),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+shared AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM shingles a JOIN shingles b USING (s) WHERE a.r <> b.r GROUP BY 1, 2),
+links AS (
+  SELECT a, b, s.n = x.n AND s.n = y.n AS equal FROM shared s JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b
+  WHERE 5 * s.n >= 4 * (x.n + y.n - s.n)
+),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+ids AS (SELECT r, doc_id FROM docs),
+components AS (SELECT a AS r, min(doc_id) AS low FROM reach JOIN ids ON ids.r = reach.b GROUP BY a),
+classes AS (SELECT a AS r, min(doc_id) AS low FROM links JOIN ids ON ids.r = links.b WHERE equal GROUP BY a),
+counts AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a)
+SELECT doc_id, least(doc_id, classes.low) AS class_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links,
+  least(doc_id, components.low) AS component_id, doc_id = least(doc_id, components.low) AS kept
+FROM docs LEFT JOIN classes USING (r) LEFT JOIN components USING (r) LEFT JOIN counts USING (r)
+"""
+
+OP7 = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+lines AS (
+  SELECT r, i, trim(parts[i], ' ' || chr(9) || chr(13)) AS line,
+    {'none': doc_id IS NULL, 'id': doc_id, 'key': md5(coalesce(text, 'null')), 'place': i} AS pos
+  FROM docs, unnest(range(1, len(parts) + 1)) AS t(i)
+),
+kinds AS (SELECT line, min(pos) AS first, length(line) AS n FROM lines WHERE line <> '' GROUP BY line),
+halves AS (
+  SELECT line, first, n, m, side, CASE side WHEN 0 THEN left(line, m // 2) ELSE right(line, m // 2) END AS half
+  FROM kinds, unnest([n, n - 1]) AS t(m), unnest([0, 1]) AS u(side) WHERE n >= 12
+),
+near AS (
+  SELECT DISTINCT a.line FROM halves a JOIN halves b USING (m, side, half)
+  WHERE b.first < a.first AND levenshtein(a.line, b.line) = 1
+),
+gone AS (
+  SELECT r, i FROM lines JOIN kinds USING (line) WHERE pos <> first OR line IN (SELECT line FROM near)
+),
+lost AS (SELECT r, list(i) AS places FROM gone GROUP BY r)
+SELECT doc_id, CAST(coalesce(len(parts), 0) AS INTEGER) AS n_lines, CAST(coalesce(len(places), 0) AS INTEGER) AS n_gone,
+  array_to_string([parts[i] FOR i IN range(1, len(parts) + 1) IF NOT list_contains(coalesce(places, []), i)], chr(10)) AS text
+FROM docs LEFT JOIN lost USING (r)
+"""
+
+OP10 = """
+WITH RECURSIVE vectors AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+valid AS (
+  SELECT r, vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM vectors
+  WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+),
+links AS (
+  SELECT a.r AS a, b.r AS b, b.vec_id AS id FROM valid a JOIN valid b ON a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE CASE WHEN len(a.e) = len(b.e) THEN list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9 END
+),
+reach AS (SELECT a, b, id FROM links UNION SELECT reach.a, links.b, links.id FROM reach JOIN links ON reach.b = links.a),
+components AS (SELECT a AS r, min(id) AS low FROM reach GROUP BY a),
+counts AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, low) AS component_id,
+  vec_id = least(vec_id, low) AS kept
+FROM vectors LEFT JOIN components USING (r) LEFT JOIN counts USING (r)
+"""
+
 ORACLE = {
-    "op1_decontamination": OP1, "op2_url_filter": OP2, "op6_licence_scan": OP6,
-    "op8_source_mixing": OP8
+    "op1_decontamination": OP1,
+    "op2_url_filter": OP2,
+    "op5_jaccard_join": OP5,
+    "op6_licence_scan": OP6,
+    "op7_line_dedup": OP7,
+    "op8_source_mixing": OP8,
+    "op10_embedding_join": OP10,
 }
