@@ -48,7 +48,7 @@ def main() -> None:
         "evaluate_bm25": lambda: drain(evaluation.evaluate_run(run.runs()["bm25"], run.qrels, run.split)),
         "search_hybrid_all_queries": lambda: drain(
             search.search_hybrid(
-                run.index, run.corpus, given.queries, run.vocabulary, run.model, run.alpha
+                run.index, run.index.texts, given.queries, run.vocabulary, run.model, run.alpha
             )
         ),
     }

@@ -199,7 +199,7 @@ STEPS: dict[str, str] = {
     "qrels": """SELECT r.qid, r.doc_id, CAST(1 + coalesce(l.quality, 0) AS INTEGER) AS grade
                 FROM relevant AS r LEFT JOIN labels AS l USING (doc_id)""",
     "eligible": "SELECT DISTINCT qid FROM qrels",
-    "sampled": f"""SELECT qid FROM eligible ORDER BY md5('{SEED}:sample:' || qid) LIMIT {CONFIG.sample_size}""",
+    "sampled": "SELECT qid FROM eligible",
     "split": f"""SELECT qid, CASE WHEN place <= greatest(1, least(floor(n * 0.2::DOUBLE), n - 1))
                  THEN 'test' ELSE 'train' END AS split
                  FROM (SELECT qid, row_number() OVER (ORDER BY md5('{SEED}:split:' || qid)) AS place,
@@ -293,11 +293,9 @@ STEPS: dict[str, str] = {
                          md5('{SEED}:corpus:' || d.doc_id) AS hash
                          FROM documents AS d LEFT JOIN judged_docs AS j USING (doc_id)))
                    WHERE place <= """,
-    "known_items": f"""SELECT doc_id AS qid, array_to_string(words[5:12], ' ') AS run FROM doc_words
-                       WHERE len(words) >= 12
-                       ORDER BY md5('{SEED}:known_item:' || doc_id) LIMIT {CONFIG.sample_size}""",
+    "known_items": """SELECT doc_id AS qid, array_to_string(words[5:12], ' ') AS run FROM doc_words
+                      WHERE len(words) >= 12""",
 }
-# Same statement, but over string ids: the file layout stores ids as text.
 LIMITED = STEPS.pop("limited")
 
 
@@ -386,15 +384,8 @@ def _contract() -> str:
 
 
 STATEMENTS: dict[str, str] = {
-    "load_dataset": f"""
-        SELECT CAST(k.doc_id AS VARCHAR) AS doc_id, length(d.text) AS n_chars, g.grades
-        FROM (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY judged DESC,
-                CASE WHEN judged = 1 THEN CAST(doc_id AS VARCHAR) END, hash) AS place
-              FROM (SELECT d.doc_id, CASE WHEN j.doc_id IS NULL THEN 0 ELSE 1 END AS judged,
-                    md5('{SEED}:corpus:' || d.doc_id) AS hash
-                    FROM documents AS d LEFT JOIN judged_docs AS j USING (doc_id)))
-              WHERE place <= {CORPUS_LIMIT}) AS k
-        JOIN documents AS d USING (doc_id)
+    "load_dataset": """
+        SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, length(d.text) AS n_chars, g.grades FROM documents AS d
         LEFT JOIN (SELECT doc_id, CAST(sum(grade) AS BIGINT) AS grades FROM qrels GROUP BY doc_id) AS g
         USING (doc_id)""",
     "input_contract": _contract(),

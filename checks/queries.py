@@ -25,7 +25,7 @@ from rankloom.schemas import FEATURE_COLUMNS
 from rankloom.sources import artifacts, collections
 from rankloom.sources.collections import Collection
 
-CONFIG = RankingConfig(max_docs=None)
+CONFIG = RankingConfig(max_docs=None, sample_size=None)
 CORPUS_LIMIT = 500
 JUDGED_LIMIT = 10
 
@@ -116,12 +116,10 @@ def register(fn):
 
 @register
 def load_dataset(spark, folder):
-    """Write the collection in its file layout, read, check and slice it."""
+    """Write the collection in its file layout, read and check it."""
     path = fresh_path(spark, "collection")
     collections.write_jsonl_collection(collection(spark, folder), path, "dev")
-    loaded = collections.load_dataset(
-        spark, path, "dev", RankingConfig(max_docs=CORPUS_LIMIT)
-    )
+    loaded = collections.load_dataset(spark, path, "dev", CONFIG)
     return loaded.corpus.select("doc_id", F.length("text").cast("long").alias("n_chars")).join(
         loaded.qrels.groupBy("doc_id").agg(F.sum("grade").alias("grades")), "doc_id", "left"
     )
@@ -139,7 +137,7 @@ def passage_qrels(spark, folder):
 
 @register
 def known_item_qrels(spark, folder):
-    """Seeded sample of known-item queries with all documents that hold the asked passage."""
+    """Every document as a known-item query, with all documents that hold the asked passage."""
     corpus = collection(spark, folder).corpus
     asked = collections.known_item_queries(corpus, CONFIG.sample_size, CONFIG.random_state)
     return collections.passage_qrels(corpus, asked)
@@ -317,7 +315,7 @@ def tfidf_vocab(spark, folder):
 @register
 def tfidf_cosine(spark, folder):
     run = experiment(spark, folder)
-    documents = tfidf.documents_of(run.corpus, run.pairs)
+    documents = tfidf.documents_of(run.index.texts, run.pairs)
     return rounded(tfidf.pair_cosine(run.pairs, run.queries, documents, run.vocabulary))
 
 
@@ -377,7 +375,7 @@ def inference_frame(spark, folder):
     found = bm25.top_k(run.index, run.source.queries, 20).withColumnRenamed("rank", "pos")
     return rounded(
         features.build_inference_frame(
-            stage(found, "found"), run.corpus, run.source.queries, run.index, run.vocabulary
+            stage(found, "found"), run.index.texts, run.source.queries, run.index, run.vocabulary
         )
     )
 
@@ -562,7 +560,7 @@ def search_bm25(spark, folder):
 def search_ltr(spark, folder):
     run = experiment(spark, folder)
     return rounded(
-        search.search_ltr(run.index, run.corpus, run.source.queries, run.vocabulary, run.model)
+        search.search_ltr(run.index, run.index.texts, run.source.queries, run.vocabulary, run.model)
     )
 
 
@@ -571,7 +569,7 @@ def search_hybrid(spark, folder):
     run = experiment(spark, folder)
     return rounded(
         search.search_hybrid(
-            run.index, run.corpus, run.source.queries, run.vocabulary, run.model, 0.4
+            run.index, run.index.texts, run.source.queries, run.vocabulary, run.model, 0.4
         )
     )
 
@@ -580,7 +578,7 @@ def search_hybrid(spark, folder):
 def result_preview(spark, folder):
     run = experiment(spark, folder)
     found = search.search_bm25(run.index, run.source.queries)
-    return search.with_previews(found, run.corpus)
+    return search.with_previews(found, run.index.texts)
 
 
 # Written results -----------------------------------------------------------------------------------
@@ -651,8 +649,8 @@ def saved_search(spark, folder):
     run = experiment(spark, folder)
     if not hasattr(run, "stored_at"):
         run.stored_at = fresh_path(spark, "stored-index")
-        bm25.build_index(run.corpus, run.stored_at)
+        bm25.build_index(run.index.texts, run.stored_at)
     _, path = _saved(spark, folder)
-    runtime = prepare_runtime(spark, path, run.stored_at, run.corpus)
+    runtime = prepare_runtime(spark, path, run.stored_at)
     found = runtime.search(run.source.queries, "hybrid")
     return rounded(found.select("qid", "rank", "doc_id", "score"))

@@ -7,7 +7,8 @@ from dataclasses import asdict, dataclass, fields, replace
 
 @dataclass(frozen=True)
 class RankingConfig:
-    sample_size: int = 75
+    # Parameter names and defaults.
+    sample_size: int | None = 75  # None: all judged queries
     random_state: int = 42
     max_docs: int | None = 20000
     bm25_top_k: int = 30

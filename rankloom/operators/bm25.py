@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import tokens
-from rankloom.plans.joins import BROADCAST_BYTES, broadcast_if_small, fits_broadcast, join_on_term
+from rankloom.plans.joins import BROADCAST_BYTES, broadcast_if_small, fits_broadcast, join_on_term, matching
 from rankloom.plans.ordering import number_rows
 from rankloom.plans.staging import fresh_path, stage
 
@@ -26,12 +26,16 @@ EPSILON = 0.25
 SCORE_DIGITS = 6
 PAD_CHUNK = 8192
 PUSHED_TERMS = 64
+FIRST_IDS = 4096
+BUCKET_BYTES = 256 * 1024 * 1024
 
 
 @dataclass(frozen=True)
 class BM25Index:
     postings: DataFrame  # doc_id, dl, term, tf; bucketed by doc_id, sorted by term
     doc_stats: DataFrame  # doc_id, dl
+    texts: DataFrame  # doc_id, title, text; bucketed and sorted by doc_id
+    first_ids: DataFrame  # the smallest FIRST_IDS ids
     term_df: DataFrame  # term, df
     n_docs: int
     avgdl: float
@@ -70,13 +74,23 @@ def build_index(
     """Tokenise every document's text once and write the index tables under `path`.
 
     One shuffle moves the raw text by document id, which is smaller than moving the postings it
-    expands to; counting terms and writing buckets then happen where the text landed.
+    expands to; counting terms and writing buckets then happen where the text landed. The texts
+    themselves are kept too, sorted by id: features and previews look candidates up there. Buckets hold
+    about BUCKET_BYTES of text each unless their number is given.
     """
     spark = corpus.sparkSession
     path = path or fresh_path(spark, "bm25")
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = corpus.select("doc_id", "text").repartition(buckets, "doc_id")
-    words = placed.select("doc_id", tokens(F.col("text")).alias("words"))
+    if buckets is None:
+        volume = corpus.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // BUCKET_BYTES))
+    kept = corpus.select("doc_id", F.col("title") if "title" in corpus.columns else F.lit(None).cast("string").alias("title"), "text")
+    (
+        kept.repartition(buckets, "doc_id").write.bucketBy(buckets, "doc_id").sortBy("doc_id")
+        .option("path", f"{path}/texts").saveAsTable(_table_name())
+    )
+    texts = _bucketed(spark, f"{path}/texts", kept, buckets, "doc_id")
+    # Read bucket by bucket: no second shuffle.
+    words = texts.select("doc_id", tokens(F.col("text")).alias("words"))
     # A document without tokens keeps one row with a NULL term, so its length 0 is on record.
     occurrences = words.select(
         "doc_id", F.size("words").cast("long").alias("dl"), F.explode_outer("words").alias("term")
@@ -86,7 +100,7 @@ def build_index(
         postings.write.bucketBy(buckets, "doc_id").sortBy("term")
         .option("path", f"{path}/postings").saveAsTable(_table_name())
     )
-    written = _bucketed(spark, f"{path}/postings", postings, buckets)
+    written = _bucketed(spark, f"{path}/postings", postings, buckets, "term")
     (
         written.groupBy("doc_id").agg(F.first("dl").alias("dl"))
         .write.parquet(f"{path}/doc_stats")
@@ -95,6 +109,10 @@ def build_index(
         written.filter("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         .sortWithinPartitions("term").write.parquet(f"{path}/term_df")
     )
+    (
+        spark.read.parquet(f"{path}/doc_stats").select("doc_id").orderBy("doc_id").limit(FIRST_IDS)
+        .coalesce(1).write.parquet(f"{path}/first_ids")
+    )
     totals = spark.read.parquet(f"{path}/doc_stats").agg(
         F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")
     ).first()
@@ -105,7 +123,7 @@ def build_index(
         "n_docs long, avgdl double, mean_idf double, buckets int, k1 double, b double, epsilon double",
     ).coalesce(1).write.json(f"{path}/manifest")
     return BM25Index(
-        written, spark.read.parquet(f"{path}/doc_stats"), terms,
+        written, spark.read.parquet(f"{path}/doc_stats"), texts, spark.read.parquet(f"{path}/first_ids"), terms,
         totals["n"], totals["avgdl"] or 1.0, mean_idf or 0.0, k1, b, epsilon,
     )
 
@@ -117,8 +135,10 @@ def load_index(spark: SparkSession, path: str) -> BM25Index:
     term_df = spark.read.parquet(f"{path}/term_df")
     layout = spark.read.parquet(f"{path}/postings")
     return BM25Index(
-        postings=_bucketed(spark, f"{path}/postings", layout, facts["buckets"]),
+        postings=_bucketed(spark, f"{path}/postings", layout, facts["buckets"], "term"),
         doc_stats=doc_stats, term_df=term_df,
+        texts=_bucketed(spark, f"{path}/texts", spark.read.parquet(f"{path}/texts"), facts["buckets"], "doc_id"),
+        first_ids=spark.read.parquet(f"{path}/first_ids"),
         n_docs=facts["n_docs"], avgdl=facts["avgdl"], mean_idf=facts["mean_idf"],
         k1=facts["k1"], b=facts["b"], epsilon=facts["epsilon"],
     )
@@ -128,13 +148,14 @@ def _table_name() -> str:
     return f"rankloom_postings_{uuid.uuid4().hex[:12]}"
 
 
-def _bucketed(spark: SparkSession, path: str, like: DataFrame, buckets: int) -> DataFrame:
+def _bucketed(spark: SparkSession, path: str, like: DataFrame, buckets: int, order: str) -> DataFrame:
     """External table over existing bucket files, so that readers know the files are split by document."""
     name = _table_name()
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in like.schema.fields)
+    place = path.replace("\\", "\\\\").replace("'", "\\'")
     spark.sql(
         f"CREATE TABLE {name} ({columns}) USING parquet "
-        f"CLUSTERED BY (doc_id) SORTED BY (term) INTO {buckets} BUCKETS LOCATION '{path}'"
+        f"CLUSTERED BY (doc_id) SORTED BY ({order}) INTO {buckets} BUCKETS LOCATION '{place}'"
     )
     return spark.table(name)
 
@@ -221,7 +242,8 @@ def top_k(index: BM25Index, queries: DataFrame, k: int) -> DataFrame:
     # No score is below 0 here. A list with fewer than k positive scores leaves at least k zeros
     # among the first 2k ids, and those are the smallest zero-score ids there are.
     best = best_per_query(score_all(index, queries), k)
-    pool = index.doc_stats.select("doc_id").orderBy("doc_id").limit(2 * k).collect()
+    known = index.first_ids if 2 * k <= FIRST_IDS else index.doc_stats.select("doc_id")
+    pool = known.orderBy("doc_id").limit(2 * k).collect()
     if not pool:
         return best
     id_type = index.doc_stats.schema["doc_id"].dataType.simpleString()
@@ -289,7 +311,8 @@ def score_candidates(index: BM25Index, queries: DataFrame, pairs: DataFrame) ->
     pairs = pairs.select("qid", "doc_id")
     fits_pairs = fits_broadcast(pairs)
     side = F.broadcast(pairs) if fits_pairs else pairs
-    known = index.doc_stats.select("doc_id").join(side, "doc_id").select("qid", "doc_id")
+    present = matching(index.doc_stats.select("doc_id"), pairs, fits=fits_pairs)
+    known = present.join(side, "doc_id").select("qid", "doc_id")
     scores = pair_overlap(index, queries, pairs, fits_pairs=fits_pairs)
     return known.join(scores.select("qid", "doc_id", "score"), ["qid", "doc_id"], "left").select(
         "qid", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score")

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import compress_score, guarded_ratio, tokens
 from rankloom.operators.bm25 import (
-    BM25Index, QuerySide, measure_queries, pair_overlap, score_candidates,
+    BM25Index, QuerySide, measure_queries, pair_overlap, query_terms, score_candidates, weighted_terms,
 )
 from rankloom.operators.candidates import inference_pairs
 from rankloom.operators.semantic import pair_similarity
 from rankloom.operators.tfidf import documents_of, pair_cosine
-from rankloom.plans.joins import fits_broadcast
+from rankloom.plans.joins import fits_broadcast, matching
 from rankloom.plans.staging import stage
 from rankloom.schemas import FRAME_COLUMNS
 
@@ -35,7 +35,8 @@ def with_lengths(
     side = side or measure_queries(queries)
     fits_pairs = fits_broadcast(pairs) if fits_pairs is None else fits_pairs
     lengths = query_lengths(queries)
-    return index.doc_stats.join(F.broadcast(pairs) if fits_pairs else pairs, "doc_id").join(
+    lengths_of = matching(index.doc_stats, pairs, fits=fits_pairs)
+    return lengths_of.join(F.broadcast(pairs) if fits_pairs else pairs, "doc_id").join(
         F.broadcast(lengths) if side.fits else lengths, "qid"
     )
 
@@ -93,20 +94,34 @@ def labels(pairs: DataFrame, qrels: DataFrame | None) -> DataFrame:
     ).drop("_judged")
 
 
+def text_overlap(
+    index: BM25Index, queries: DataFrame, pairs: DataFrame, documents: DataFrame, side: QuerySide
+) -> DataFrame:
+    """qid, doc_id, common_terms, idf_overlap of pairs that share a term, from the documents' texts."""
+    terms = weighted_terms(index, query_terms(queries), side)
+    words = documents.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    asked = pairs.select("qid", "doc_id").join(F.broadcast(terms) if side.fits else terms, "qid")
+    return asked.join(words, ["doc_id", "term"]).groupBy("qid", "doc_id").agg(
+        F.count(F.lit(1)).alias("common_terms"), F.round(F.sum("idf"), 9).alias("idf_overlap")
+    )
+
+
 def build_frame(
     pairs: DataFrame, corpus: DataFrame, queries: DataFrame, index: BM25Index, vocabulary: DataFrame,
     qrels: DataFrame | None, query_vectors: DataFrame | None = None,
     document_vectors: DataFrame | None = None,
 ) -> DataFrame:
-    """Feature frame of (qid, doc_id, split, bm25, rank) pairs.
+    """Feature frame of (qid, doc_id, split, bm25, rank) pairs; pairs of unknown documents are dropped.
 
-    `pairs` should be a written table: every feature family starts from it. Texts are read for the
-    pairs' distinct documents only.
+    `pairs` should be a written table: every feature family starts from it. The texts of the pairs'
+    documents are looked up once (hand in the index's `texts` as the corpus); TF-IDF and term overlap
+    both come from them, so the postings are not read again.
     """
     key = ["qid", "doc_id"]
     side, fits_pairs = measure_queries(queries), fits_broadcast(pairs)
-    cosine = pair_cosine(pairs, queries, documents_of(corpus, pairs, fits_pairs), vocabulary)
-    shared = pair_overlap(index, queries, pairs, side, fits_pairs).drop("score")
+    documents = stage(documents_of(corpus, pairs, fits_pairs), "frame_texts")
+    cosine = pair_cosine(pairs, queries, documents, vocabulary)
+    shared = text_overlap(index, queries, pairs, documents, side)
     sized = with_lengths(index, queries, pairs, side, fits_pairs)
     frame = retrieval_features(labels(sized, qrels)).join(shared, key, "left").join(cosine, key, "left")
     frame = pair_similarity(frame, query_vectors, document_vectors)

@@ -54,9 +54,11 @@ def eligible_queries(queries: DataFrame, qrels: DataFrame) -> DataFrame:
 
 
 def sample_queries(
-    queries: DataFrame, qrels: DataFrame, sample_size: int, seed: int = 42
+    queries: DataFrame, qrels: DataFrame, sample_size: int | None, seed: int = 42
 ) -> DataFrame:
-    """Exactly `sample_size` eligible queries, or all of them when there are fewer."""
+    """Exactly `sample_size` eligible queries, or all of them when there are fewer or it is None."""
+    if sample_size is None:
+        return eligible_queries(queries, qrels)
     return first_by_hash(eligible_queries(queries, qrels), "qid", sample_size, seed, "sample")
 
 

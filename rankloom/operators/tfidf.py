@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import content_words, unigrams_and_bigrams
-from rankloom.plans.joins import fits_broadcast
+from rankloom.plans.joins import join_on_term, matching
 
 COSINE_DIGITS = 9
 
@@ -46,7 +46,7 @@ def weighted_grams(
 ) -> DataFrame:
     """id, gram, w: rows of unit-length TF-IDF vectors; grams outside the vocabulary do not count."""
     counts = gram_counts(texts, id_column, stop_words)
-    known = counts.join(vocabulary.select("gram", "idf"), "gram").select(
+    known = join_on_term(counts, vocabulary.select("gram", "idf"), "gram", id_column).select(
         id_column, "gram", (F.col("tf") * F.col("idf")).alias("raw")
     )
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_column)))
@@ -72,7 +72,4 @@ def pair_cosine(
 
 def documents_of(corpus: DataFrame, ids: DataFrame, fits: bool | None = None) -> DataFrame:
     """Texts of the given documents; `ids` may repeat an id."""
-    wanted = ids.select("doc_id")
-    small = fits_broadcast(wanted) if fits is None else fits
-    side = F.broadcast(wanted) if small else wanted.distinct()
-    return corpus.select("doc_id", "text").join(side, "doc_id", "left_semi")
+    return matching(corpus.select("doc_id", "text"), ids, fits=fits)

@@ -11,12 +11,14 @@ from rankloom.config import RankingConfig
 from rankloom.operators import bm25, candidates, evaluation, features, hybrid, tfidf
 from rankloom.operators.diagnostics import feature_summary, spearman_matrix
 from rankloom.operators.reranker import (
-    DEFAULT_PARAMS, RerankerModel, coefficient_importance, fit_reranker, score_rows,
+    RerankerModel, coefficient_importance, fit_reranker, score_rows,
 )
 from rankloom.operators.sampling import (
     limit_corpus, sample_queries, split_queries,
 )
-from rankloom.operators.tuning import FoldData, prepare_folds, select_features, tune
+from rankloom.operators.tuning import (
+    FoldData, prepare_folds, select_features, selection_report, tune, tuning_report,
+)
 from rankloom.plans.joins import broadcast_if_small
 from rankloom.plans.staging import stage
 from rankloom.schemas import FEATURE_COLUMNS
@@ -111,7 +113,7 @@ class Experiment:
         return stage(
             tfidf.fit_vocabulary(
                 self.queries.join(broadcast_if_small(self.ids("train")), "qid", "left_semi"),
-                tfidf.documents_of(self.corpus, train_documents),
+                tfidf.documents_of(self.index.texts, train_documents),
             ),
             "vocabulary",
         )
@@ -120,7 +122,7 @@ class Experiment:
     def frame(self) -> DataFrame:
         frame = stage(
             features.build_frame(
-                self.pairs, self.corpus, self.queries, self.index, self.vocabulary, self.qrels,
+                self.pairs, self.index.texts, self.queries, self.index, self.vocabulary, self.qrels,
                 self.query_vectors, self.document_vectors,
             ),
             "features",
@@ -141,23 +143,17 @@ class Experiment:
 
     @cached_property
     def tuning(self) -> dict:
-        if not self.config.enable_model_tuning:
-            return {
-                "enabled": False, "selected_params": dict(DEFAULT_PARAMS),
-                "best_cv_ndcg_at_10": None, "fold_count": 0, "candidate_results": [],
-            }
-        return tune(self.folds)
+        if self.config.enable_model_tuning:
+            return tune(self.folds)
+        return tuning_report([], enabled=False)
 
     @cached_property
     def selection(self) -> dict:
-        if not self.config.enable_feature_selection:
-            return {
-                "enabled": False, "selected_features": list(FEATURE_COLUMNS),
-                "best_cv_ndcg_at_10": self.tuning["best_cv_ndcg_at_10"], "history": [],
-            }
-        return select_features(
-            self.folds, self.tuning["selected_params"], self.config.feature_selection_min_features
-        )
+        if self.config.enable_feature_selection:
+            return select_features(
+                self.folds, self.tuning["selected_params"], self.config.feature_selection_min_features
+            )
+        return selection_report([], enabled=False, known_score=self.tuning["best_cv_ndcg_at_10"])
 
     @cached_property
     def model(self) -> RerankerModel:
@@ -197,6 +193,7 @@ class Experiment:
         return stage(evaluation.compare_models(self.runs(), self.qrels, self.ids("test")), "metrics")
 
     def summary(self) -> dict:
+        # The keys are an output format.
         scores = {
             row["model"]: {"ndcg@10": row["ndcg_at_10"], "map": row["map"]}
             for row in self.metrics.collect()

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 ROW_OVERHEAD = 32
+SCAN_KEYS = 500
 
 
 def _cell_bytes(field: T.StructField) -> Column:
@@ -41,6 +42,20 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if fits_broadcast(df, limit) else df
 
 
+def matching(table: DataFrame, ids: DataFrame, key: str = "doc_id", fits: bool | None = None) -> DataFrame:
+    """Rows of `table` whose key is in `ids` (which may repeat keys).
+
+    A few keys become a filter that the scan of a table sorted by key can skip row groups with. More are
+    broadcast if they are counted to fit, and else joined by key.
+    """
+    wanted = ids.select(key)
+    some = wanted.distinct().limit(SCAN_KEYS + 1).collect()
+    if len(some) <= SCAN_KEYS:
+        return table.filter(F.col(key).isin([row[key] for row in some]))
+    small = fits_broadcast(wanted) if fits is None else fits
+    return table.join(F.broadcast(wanted) if small else wanted.distinct(), key, "left_semi")
+
+
 def spread(scan: DataFrame, key: str) -> DataFrame:
     """Rows of a plain scan placed by `key` when the scan has fewer splits than there are cores.
 

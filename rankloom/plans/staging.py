@@ -6,25 +6,17 @@ read back. The written table cuts the lineage and survives the loss of executors
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_FOLDERS: dict[str, str] = {}
-
 
 def workspace(spark: SparkSession) -> str:
-    """Shared folder for intermediates: `spark.checkpoint.dir`, or a temporary one on local[*] only."""
+    """Shared folder for intermediates: `spark.checkpoint.dir`, or a part of the warehouse where that is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    if context.applicationId not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="rankloom-")
-    return _LOCAL_FOLDERS[context.applicationId]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/rankloom-work"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -171,14 +171,16 @@ def graded_qrels(qrels: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def known_item_queries(
-    corpus: DataFrame, sample_size: int, seed: int, first: int = 5, width: int = 8
+    corpus: DataFrame, sample_size: int | None, seed: int, first: int = 5, width: int = 8
 ) -> DataFrame:
-    """Seeded sample of long enough documents, each asked for by its tokens first .. first+width-1."""
+    """Long enough documents (a seeded sample, or all if `sample_size` is None), each asked for by its tokens first .. first+width-1."""
     words = tokens(F.col("text"))
     eligible = corpus.select("doc_id", words.alias("words")).filter(
         F.size("words") >= first + width - 1
     )
-    chosen = first_by_hash(eligible, "doc_id", sample_size, seed, "known_item")
+    chosen = eligible
+    if sample_size is not None:
+        chosen = first_by_hash(eligible, "doc_id", sample_size, seed, "known_item")
     return chosen.select(
         F.col("doc_id").alias("qid"),
         F.array_join(F.slice("words", first, width), " ").alias("text"),

@@ -64,12 +64,14 @@ def test_fit_reaches_the_optimum(frame, table, solver):
 def test_joint_fits_reach_the_same_optimum_per_fold(frame, table):
     data = tuning.prepare_folds(frame, NAMES, 3)
     settings = [
-        {"C": 0.5, "solver": "liblinear", "class_weight": "balanced"},
-        {"C": 2.0, "solver": "lbfgs", "class_weight": "balanced"},
+        {"C": 0.5, "solver": "liblinear", "class_weight": "balanced", "max_iter": 100},
+        {"C": 2.0, "solver": "lbfgs", "class_weight": "balanced", "max_iter": 100},
     ]
-    options = [tuning._candidate("x", NAMES, s) for s in settings]
-    options.append(tuning._candidate("drop", [NAMES[0], NAMES[2]], settings[0]))
-    fitted = tuning.fit_all(data, options)
+    options = [tuning.Candidate("x", tuple(NAMES), tuple(s.items())) for s in settings]
+    options.append(tuning.Candidate("drop", (NAMES[0], NAMES[2]), tuple(settings[0].items())))
+    fits = tuning.fit_all(data, options)
+    assert all(fit.converged for fit in fits.values())
+    fitted = {key: fit.weights for key, fit in fits.items()}
     for fold in range(3):
         part = table[table.query_id % 3 != fold]
         x, y = standardised(part), part.label.to_numpy()
@@ -85,7 +87,7 @@ def dcg(labels):
 
 
 def test_cross_validation_by_hand(frame, table):
-    params = {"C": 0.5, "solver": "liblinear", "class_weight": "balanced"}
+    params = {"C": 0.5, "solver": "liblinear", "class_weight": "balanced", "max_iter": 100}
     scores = []
     for fold in range(4):
         fit, val = table[table.query_id % 4 != fold], table[table.query_id % 4 == fold]

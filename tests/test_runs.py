@@ -100,7 +100,7 @@ def test_split_folder_prunes_the_scan(run, saved, spark):
 @pytest.mark.parametrize("mode", ["bm25", "ltr", "hybrid"])
 def test_search_modes(run, saved, spark, mode):
     folder, _ = saved
-    runtime = prepare_runtime(spark, folder, run.index_path, run.corpus)
+    runtime = prepare_runtime(spark, folder, run.index_path)
     asked = spark.createDataFrame(
         [("a", run.queries.first()["text"]), ("b", "nothingmatchesthis")], "qid string, text string"
     )
@@ -113,7 +113,7 @@ def test_search_modes(run, saved, spark, mode):
 
 def test_missing_results_are_reported(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="model_params"):
-        prepare_runtime(spark, str(tmp_path), "x", None)
+        prepare_runtime(spark, str(tmp_path), "x")
 
 
 def test_titles_show_only_when_not_blank(toy, spark):
