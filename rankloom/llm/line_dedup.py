@@ -25,32 +25,51 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.jaccard import mixed
 from rankloom.llm.tables import stage
-from rankloom.llm.text import prepare_python, text_key
+from rankloom.llm.text import prepare_python, text_key, utf8
 from rankloom.plans.joins import broadcast_if_small
 
 MIN_CHARS = 12
 BROADCAST_BYTES = 16 * 1024 * 1024
 _BASE = np.uint64(0x5851F42D4C957F2D)
+BLANKS = b" \t\r"
 OWN, LESS, AT = 0, 1, 2
 
 
-def trimmed(column: Column) -> Column:
-    return F.trim(column, F.lit(" \t\r"))
-
-
-def half_keys(line: Column, size: Column) -> Column:
+def half_keys(line: bytes) -> list[int]:
     """Hashes that two lines within one edit share one of: an intact half, for each length both could have in common."""
+    chars = line.decode("utf-8", "replace")
     keys = []
-    for shorter in (size, size - 1):
-        half = F.floor(shorter / 2).cast("int")
-        keys.append(F.xxhash64(F.lit("head"), shorter, line.substr(F.lit(1), half)))
-        keys.append(F.xxhash64(F.lit("tail"), shorter, line.substr(size - half + 1, half)))
-    return F.array(*keys)
+    for shorter in (len(chars), len(chars) - 1):
+        half = shorter // 2
+        for side, part in ((0, chars[:half]), (1, chars[len(chars) - half :])):
+            keys.append(xxhash.xxh3_64_intdigest(part.encode("utf-8", "replace"), seed=2 * shorter + side))
+    return keys
+
+
+_LINE = pa.struct([("place", pa.int32()), ("key", pa.binary()), ("halves", pa.list_(pa.int64()))])
+
+
+def _splitter(min_chars: int):
+    def lines_of(texts: pa.Array) -> pa.Array:
+        out = []
+        for raw in texts.to_pylist():
+            own = []
+            for place, line in enumerate((raw or b"").split(b"\n")):
+                line = line.strip(BLANKS)
+                if line:
+                    long = len(line) >= min_chars and len(line.decode("utf-8", "replace")) >= min_chars
+                    halves = np.array(half_keys(line), dtype=np.uint64).view(np.int64) if long else None
+                    own.append({"place": place, "key": xxhash.xxh3_128_digest(line), "halves": halves})
+            out.append(own)
+        return pa.array(out, type=pa.list_(_LINE))
+
+    return lines_of
 
 
 def deletion_keys(line: str) -> tuple[np.ndarray, np.ndarray]:
@@ -81,23 +100,16 @@ def _keys_of(lines: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), structs)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, place, line, key) of every line that is not blank."""
-    split = docs.select("doc_id", F.unhex(text_key()).alias("text_key"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    cut = split.withColumn("line", trimmed(F.col("line"))).filter(F.col("line") != "")
-    return cut.withColumn("key", F.unhex(F.md5(F.col("line").cast("binary"))))
-
-
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, text_key, gone): for each document that loses lines, their numbers from 0."""
     prepare_python(docs.sparkSession)
-    lines = _lines(docs)
+    keyed = docs.select("doc_id", F.unhex(text_key()).alias("text_key"), "text")
+    cut = F.arrow_udf(_splitter(min_chars), "array<struct<place: int, key: binary, halves: array<bigint>>>")(utf8("text"))
+    lines = stage(keyed.select("doc_id", "text_key", F.explode(cut).alias("l")).select("doc_id", "text_key", "l.*"), "line_places", "snappy")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "place")
-    size = F.length("line")
     kinds = stage(
         lines.groupBy("key").agg(
-            F.min(order).alias("first"), F.count("*").alias("times"),
-            F.first(F.when(size >= min_chars, half_keys(F.col("line"), size))).alias("halves"),
+            F.min(order).alias("first"), F.count("*").alias("times"), F.first("halves").alias("halves")
         ),
         "line_kinds",
     )
@@ -106,8 +118,12 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     near = stage(
         halves.join(broadcast_if_small(shared, BROADCAST_BYTES), "half", "left_semi").select("key", "first").distinct(), "line_near"
     )
+    firsts = near.select("key", "first", F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_text"))
+    at_first = (F.col("text_key") == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    line = F.element_at(F.split("text", "\n"), F.col("first.place") + 1)
     texts = stage(
-        lines.select("key", "line").join(broadcast_if_small(near, BROADCAST_BYTES), "key").dropDuplicates(["key"]),
+        keyed.join(broadcast_if_small(firsts, BROADCAST_BYTES), at_first)
+        .select("key", "first", F.trim(line, F.lit(BLANKS.decode())).alias("line")).dropDuplicates(["key"]),
         "line_texts", "snappy",
     )
     variants = texts.select("key", F.explode(F.arrow_udf(_keys_of, "array<struct<variant: bigint, kind: int>>")("line")).alias("v"))
