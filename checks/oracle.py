@@ -12,8 +12,11 @@ from checks.queries import (
 )
 from rankloom.functions.stopwords import ENGLISH_STOP_WORDS
 from rankloom.operators.hybrid import ALPHA_GRID
+from rankloom.operators.reranker import DEFAULT_PARAMS, INTERCEPT, PARAM_GRID
 from rankloom.schemas import FEATURE_COLUMNS, FRAME_COLUMNS
 
+DESCENT_STEPS = 1500
+
 STOP_LIST = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH_STOP_WORDS) + "]"
 
 
@@ -299,6 +302,77 @@ STEPS: dict[str, str] = {
 LIMITED = STEPS.pop("limited")
 
 
+def _fold_steps() -> dict[str, str]:
+    """Fits of every grid setting on the rows outside each fold, and on all rows (fit -1), by accelerated
+    gradient descent in a recursive step."""
+    width = len(FEATURE_COLUMNS) + 1
+    zeros = f"CAST(list_resize([0.0], {width}, 0.0) AS DOUBLE[])"
+    position = " ".join(f"WHEN '{f}' THEN {i}" for i, f in enumerate(FEATURE_COLUMNS))
+    settings = ", ".join(
+        f"({i}, {p['C']}::DOUBLE, '{p['solver']}')" for i, p in enumerate(PARAM_GRID)
+    )
+    return {
+        "fold_of": f"""SELECT query_id, CAST((row_number() OVER (ORDER BY query_id) - 1) %
+                       least(greatest(2, {CONFIG.tuning_folds}), count(*) OVER ()) AS INTEGER) AS fold
+                       FROM (SELECT DISTINCT query_id FROM train_rows)""",
+        "fold_cells": f"""SELECT c.*, f.fold, t.label FROM ({_long("train_rows", "query_id, doc_id,")}) AS c
+                          JOIN fold_of AS f USING (query_id) JOIN train_rows AS t USING (query_id, doc_id)""",
+        "fold_fits": """SELECT fit FROM (SELECT DISTINCT fold AS fit FROM fold_of UNION ALL SELECT -1) JOIN fold_cells ON fold <> fit
+                        GROUP BY fit HAVING count(DISTINCT label) = 2""",
+        "fold_scale": """SELECT fit, feature, mean,
+                         CASE WHEN std <= 1e-12 * greatest(abs(mean), 1.0) THEN 1.0 ELSE std END AS std
+                         FROM (SELECT fit, feature, avg(value) AS mean, stddev_pop(value) AS std
+                               FROM fold_fits JOIN fold_cells ON fold <> fit GROUP BY fit, feature)""",
+        "fold_rows": f"""SELECT fit, query_id, doc_id, fold, label, list_append(
+                           list((value - mean) / std ORDER BY CASE feature {position} END), 1.0) AS x
+                         FROM fold_scale JOIN fold_cells USING (feature) GROUP BY ALL""",
+        "fold_data": f"""SELECT fit, xs, ys, n, list_transform(ys, lambda y: CASE WHEN y > 0 THEN n / (2 * ones) ELSE n / (2 * (n - ones)) END) AS ws,
+                           list_transform(range(1, {width + 1}), lambda j: list_transform(xs, lambda r: r[j])) AS cols
+                         FROM (SELECT fit, list(x ORDER BY query_id, doc_id) AS xs,
+                                 list(CAST(label > 0 AS DOUBLE) ORDER BY query_id, doc_id) AS ys,
+                                 CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(label > 0 AS INTEGER)) AS DOUBLE) AS ones
+                               FROM fold_rows WHERE fold <> fit GROUP BY fit)""",
+        "grid_settings": f"SELECT * FROM (VALUES {settings}) AS v(setting, c, solver)",
+        "grid_fits": f"""
+            WITH RECURSIVE start AS (
+              SELECT setting, fit, list_append(list_resize([1 / c], {width - 1}, 1 / c),
+                                               CASE solver WHEN 'liblinear' THEN 1 / c ELSE 0.0 END) AS ridge,
+                1 / (1 / c + list_sum(list_transform(range(1, CAST(n AS INTEGER) + 1),
+                                                     lambda r: ws[r] * list_dot_product(xs[r], xs[r]))) / 4) AS pace,
+                c
+              FROM grid_settings CROSS JOIN fold_data
+            ),
+            descent AS (
+              SELECT 0 AS i, setting, fit, {zeros} AS b, {zeros} AS z FROM start
+              UNION ALL
+              SELECT i + 1, setting, fit, moved AS b,
+                list_transform(range(1, {width + 1}), lambda j: moved[j] + drift * (moved[j] - b[j])) AS z
+              FROM (
+                SELECT i, setting, fit, b, drift, list_transform(range(1, {width + 1}), lambda j:
+                    z[j] - pace * (list_dot_product(off, cols[j]) + ridge[j] * z[j])) AS moved
+                FROM (
+                  SELECT d.*, s.ridge, s.pace, cols,
+                    (1 - sqrt(s.pace / s.c)) / (1 + sqrt(s.pace / s.c)) AS drift,
+                    list_transform(range(1, CAST(n AS INTEGER) + 1), lambda r:
+                      ws[r] * (1 / (1 + exp(-list_dot_product(xs[r], d.z))) - ys[r])) AS off
+                  FROM descent AS d JOIN start AS s USING (setting, fit) JOIN fold_data USING (fit) WHERE d.i < {DESCENT_STEPS}
+                )
+              )
+            )
+            SELECT setting, fit, b FROM descent WHERE i = {DESCENT_STEPS}""",
+        "grid_scores": f"""SELECT setting, fold, query_id AS qid, doc_id, label,
+                             round(1 / (1 + exp(-list_dot_product(x, b))), 9) AS score
+                           FROM fold_rows JOIN grid_fits USING (fit) WHERE fold = fit""",
+        "grid_run": _ranked("grid_scores", "setting, fold, qid", 10),
+        "grid_judged": "SELECT setting, fold, qid, doc_id, label AS grade FROM grid_scores WHERE label > 0",
+        "grid_queries": _metrics("grid_run", "grid_judged", "setting, fold, qid"),
+        "grid_folds": "SELECT setting, fold, avg(ndcg) AS ndcg FROM grid_queries GROUP BY setting, fold",
+    }
+
+
+STEPS.update(_fold_steps())
+
+
 def sql(statement: str) -> str:
     """The statement with every step it needs, in order of definition."""
     needed: set[str] = set()
@@ -461,6 +535,11 @@ STATEMENTS: dict[str, str] = {
     "query_folds": f"""SELECT query_id, CAST((row_number() OVER (ORDER BY query_id) - 1) %
                        least(greatest(2, {CONFIG.tuning_folds}), count(*) OVER ()) AS INTEGER) AS fold
                        FROM (SELECT DISTINCT query_id FROM train_rows)""",
+    "reranker_fit": f"""SELECT unnest([{", ".join(f"'{f}'" for f in FEATURE_COLUMNS)}, '{INTERCEPT}']) AS feature,
+                       unnest(list_transform(b, lambda w: round(w, 4) + 0.0)) AS coefficient
+                       FROM grid_fits WHERE fit = -1 AND setting = {PARAM_GRID.index(DEFAULT_PARAMS)}""",
+    "tuning_grid": """SELECT c, solver, list(round(ndcg, 6) ORDER BY fold) AS fold_scores, round(avg(ndcg), 6) AS mean_ndcg_at_10
+                      FROM grid_settings JOIN grid_folds USING (setting) GROUP BY setting, c, solver""",
     "frame_qrels": "SELECT query_id AS qid, doc_id, label AS grade FROM frame WHERE label > 0",
     "feature_summary": _summary(),
     "spearman_matrix": _spearman(),

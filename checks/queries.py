@@ -452,6 +452,13 @@ def score_fixed(spark, folder):
     return rounded(experiment(spark, folder).scored.select("query_id", "doc_id", "split", "score"))
 
 
+@register
+def reranker_fit(spark, folder):
+    """The reranker fitted with default parameters on all features of the training rows."""
+    fitted = reranker.fit_reranker(experiment(spark, folder).train, list(FEATURE_COLUMNS), reranker.DEFAULT_PARAMS)
+    return fitted.to_frame(spark).select("feature", (F.round("coefficient", 4) + 0.0).alias("coefficient"))
+
+
 @register
 def logistic_coefficients(spark, folder):
     return rounded(experiment(spark, folder).trained.to_frame(spark))
@@ -464,7 +471,12 @@ def importance(spark, folder):
 
 @register
 def tuning_grid(spark, folder):
-    return artifacts.tuning_table(spark, experiment(spark, folder).tuning)
+    """Every setting of the grid with the nDCG of each fold."""
+    tried = artifacts.tuning_table(spark, experiment(spark, folder).tuning)
+    return tried.select(
+        "c", "solver", F.transform("fold_scores", lambda x: F.round(x, 6)).alias("fold_scores"),
+        F.round("mean_ndcg_at_10", 6).alias("mean_ndcg_at_10"),
+    )
 
 
 @register
