@@ -86,7 +86,7 @@ def collection(spark: SparkSession, folder: str) -> Collection:
     qrels = collections.graded_qrels(
         collections.passage_qrels(corpus, queries), table(spark, folder, "labels")
     )
-    return Collection(corpus, queries, qrels)
+    return Collection(corpus, queries, stage(qrels, "judgements"))
 
 
 def experiment(spark: SparkSession, folder: str) -> CheckedExperiment:

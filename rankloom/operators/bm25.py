@@ -145,7 +145,7 @@ def load_index(spark: SparkSession, path: str) -> BM25Index:
 
 
 def _table_name() -> str:
-    return f"rankloom_postings_{uuid.uuid4().hex[:12]}"
+    return f"rankloom_index_{uuid.uuid4().hex[:12]}"
 
 
 def _bucketed(spark: SparkSession, path: str, like: DataFrame, buckets: int, order: str) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +14,7 @@ from rankloom.functions.text import shingles, tokens
 from rankloom.operators.sampling import limit_corpus
 from rankloom.plans.joins import broadcast_if_small, join_on_term, spread
 from rankloom.plans.ordering import first_by_hash
+from rankloom.plans.staging import stage
 
 
 @dataclass(frozen=True)
@@ -84,7 +86,8 @@ def load_dataset(
     spark: SparkSession, folder: str, split: str, config: RankingConfig
 ) -> Collection:
     """Read a collection, check it, and cut it to the configured corpus size."""
-    collection = read_jsonl_collection(spark, folder, split)
+    parsed = read_jsonl_collection(spark, folder, split)
+    collection = Collection(stage(parsed.corpus, "corpus"), parsed.queries, stage(parsed.qrels, "qrels"))
     require_valid(collection)
     corpus, qrels = limit_corpus(
         collection.corpus, collection.qrels, config.max_docs, config.random_state
@@ -92,40 +95,44 @@ def load_dataset(
     return Collection(corpus, collection.queries, qrels)
 
 
-def input_contract(collection: Collection) -> DataFrame:
-    """One row per check: (check_name, violations). Valid input has zero everywhere but `dangling_*`."""
-    corpus, queries, qrels = collection.corpus, collection.queries, collection.qrels
-    some_text = F.length(F.coalesce(F.col("text"), F.lit(""))) > 0
-
-    def count(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).alias("violations")).select(
-            F.lit(name).alias("check_name"), "violations"
-        )
+def _key_checks(table: DataFrame, keys: list[str], repeated: str, **rows: Column) -> DataFrame:
+    """check_name, violations: rows that meet each named condition, and (`repeated`) keys with several rows."""
+    by_key = table.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(flag.cast("long")).alias(name) for name, flag in rows.items()]
+    )
+    totals = by_key.agg(F.sum((F.col("_n") > 1).cast("long")).alias(repeated), *[F.sum(name).alias(name) for name in rows])
+    pairs = F.array(*[
+        F.struct(F.lit(name).alias("check_name"), F.coalesce(name, F.lit(0)).cast("long").alias("violations"))
+        for name in (repeated, *rows)
+    ])
+    return totals.select(F.explode(pairs).alias("c")).select("c.*")
 
-    def repeated(df: DataFrame, *keys: str) -> DataFrame:
-        return df.groupBy(*keys).count().filter("count > 1")
 
-    judged_docs = qrels.filter("doc_id is not null").select("doc_id").distinct()
-    judged_qids = qrels.filter("qid is not null").select("qid").distinct()
-    # Corpus and query ids are cut to the judged ones before they meet a shuffle.
-    doc_ids = corpus.select("doc_id").join(broadcast_if_small(judged_docs), "doc_id", "left_semi")
-    qids = queries.select("qid").join(broadcast_if_small(judged_qids), "qid", "left_semi")
+def input_contract(collection: Collection) -> DataFrame:
+    """One row per check: (check_name, violations). Valid input has zero everywhere but `dangling_*`.
+
+    Each table is aggregated once by its key; a second, key-only scan serves the dangling judgements.
+    """
+    corpus, queries = collection.corpus, collection.queries
+    qrels = stage(collection.qrels, "contract_qrels")
+    no_text = F.length(F.coalesce(F.col("text"), F.lit(""))) == 0
+    no_pair = F.expr("qid is null or doc_id is null or grade is null")
     checks = [
-        count(corpus.filter("doc_id is null"), "corpus_null_id"),
-        count(repeated(corpus, "doc_id"), "corpus_duplicate_id"),
-        count(corpus.filter(~some_text), "corpus_empty_text"),
-        count(queries.filter("qid is null"), "queries_null_id"),
-        count(repeated(queries, "qid"), "queries_duplicate_id"),
-        count(queries.filter(~some_text), "queries_empty_text"),
-        count(qrels.filter("qid is null or doc_id is null or grade is null"), "qrels_null"),
-        count(repeated(qrels, "qid", "doc_id"), "qrels_duplicate_pair"),
-        count(judged_docs.join(doc_ids, "doc_id", "left_anti"), "dangling_doc_id"),
-        count(judged_qids.join(qids, "qid", "left_anti"), "dangling_qid"),
+        _key_checks(
+            corpus, ["doc_id"], "corpus_duplicate_id", corpus_null_id=F.col("doc_id").isNull(), corpus_empty_text=no_text
+        ),
+        _key_checks(
+            queries, ["qid"], "queries_duplicate_id", queries_null_id=F.col("qid").isNull(), queries_empty_text=no_text
+        ),
+        _key_checks(qrels, ["qid", "doc_id"], "qrels_duplicate_pair", qrels_null=no_pair),
     ]
-    table = checks[0]
-    for check in checks[1:]:
-        table = table.unionByName(check)
-    return table
+    for table, key in ((corpus, "doc_id"), (queries, "qid")):
+        judged = qrels.filter(F.col(key).isNotNull()).select(key).distinct()
+        # The table's keys are cut to the judged ones before they meet a shuffle.
+        present = table.select(key).join(broadcast_if_small(judged), key, "left_semi")
+        missing = judged.join(present, key, "left_anti").agg(F.count(F.lit(1)).alias("violations"))
+        checks.append(missing.select(F.lit(f"dangling_{key}").alias("check_name"), "violations"))
+    return reduce(DataFrame.unionByName, checks)
 
 
 def require_valid(collection: Collection) -> None:
@@ -178,10 +185,7 @@ def known_item_queries(
     eligible = corpus.select("doc_id", words.alias("words")).filter(
         F.size("words") >= first + width - 1
     )
-    chosen = eligible
-    if sample_size is not None:
-        chosen = first_by_hash(eligible, "doc_id", sample_size, seed, "known_item")
-    return chosen.select(
-        F.col("doc_id").alias("qid"),
-        F.array_join(F.slice("words", first, width), " ").alias("text"),
-    )
+    asked = eligible.select("doc_id", F.array_join(F.slice("words", first, width), " ").alias("text"))
+    if sample_size is not None:  # written first: picking by hash reads the ids several times
+        asked = first_by_hash(stage(asked, "known_items"), "doc_id", sample_size, seed, "known_item")
+    return asked.select(F.col("doc_id").alias("qid"), "text")
