@@ -38,6 +38,7 @@ ROUNDS = 2
 CONFIDENT = 0.98
 KEEP_FROM = 0.3
 FOLDS = 5
+PIECE_ROWS = 4096
 WORD_BITS = 17
 #: (L1 penalty times the root of the row count, L2 penalty, steps) of each view; L1 leaves few of the many words
 #: with a weight, and falls with the noise as rows grow.
@@ -86,37 +87,69 @@ def layout_view(raw: bytes | None, lang: str | None, source: str | None, n_chars
     return places[order], values[order]
 
 
-def sparse_rows(values: pa.ListArray, numbers: pa.ListArray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, places, values) of rows given as lists of places, with ones where no values are given."""
-    lengths = values.value_lengths().to_numpy(zero_copy_only=False)
-    places = values.flatten().to_numpy()
-    weights = np.ones(len(places)) if numbers is None else numbers.flatten().to_numpy()
-    return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), places, weights
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray | None]  # starts, places, values (None: all 1)
 
 
-def _log_odds(rows, model: tuple[np.ndarray, float]) -> np.ndarray:
+def sparse_rows(batches: list[tuple[pa.ListArray, pa.ListArray | None]]) -> Rows:
+    """Rows given as lists of places, and of values or none."""
+    lengths = [places.value_lengths().to_numpy(zero_copy_only=False) for places, _ in batches]
+    places = np.concatenate([places.flatten().to_numpy() for places, _ in batches])
+    values = None if batches[0][1] is None else np.concatenate([values.flatten().to_numpy() for _, values in batches])
+    return np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int64), places, values
+
+
+def chosen_rows(rows: Rows, chosen: np.ndarray) -> Rows:
+    """The rows flagged in `chosen`."""
+    starts, places, values = rows
+    lengths = np.diff(starts)
+    entries = np.repeat(chosen, lengths)
+    left = np.concatenate([[0], np.cumsum(lengths[chosen])])
+    return left, places[entries], None if values is None else values[entries]
+
+
+def _pieces(rows: Rows):
+    """(row range, local starts, places, values) of some rows at a time, so that only these are expanded."""
     starts, places, values = rows
-    total = np.concatenate([[0.0], np.cumsum(model[0][places] * values)])
-    return total[starts[1:]] - total[starts[:-1]] + model[1]
+    for low in range(0, len(starts) - 1, PIECE_ROWS):
+        own = starts[low : low + PIECE_ROWS + 1]
+        part = slice(own[0], own[-1])
+        yield slice(low, low + len(own) - 1), own - own[0], places[part], None if values is None else values[part]
+
 
+def _log_odds(rows: Rows, model: tuple[np.ndarray, float]) -> np.ndarray:
+    out = np.empty(len(rows[0]) - 1)
+    for own, starts, places, values in _pieces(rows):
+        weights = model[0][places] if values is None else model[0][places] * values
+        total = np.concatenate([[0.0], np.cumsum(weights)])
+        out[own] = total[starts[1:]] - total[starts[:-1]] + model[1]
+    return out
 
-def fit_logistic(rows, good: np.ndarray, size: int, l1: float, l2: float, steps: int) -> tuple[np.ndarray, float]:
+
+def _column_sums(rows: Rows, by_row: np.ndarray, size: int) -> np.ndarray:
+    """For each column the sum of its values, each times the number given for its row."""
+    out = np.zeros(size)
+    for own, starts, places, values in _pieces(rows):
+        weights = np.repeat(by_row[own], np.diff(starts))
+        out += np.bincount(places, weights=weights if values is None else weights * values, minlength=size)
+    return out
+
+
+def fit_logistic(rows: Rows, good: np.ndarray, size: int, l1: float, l2: float, steps: int) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated proximal gradient steps.
 
     Each coefficient has a step of its own, from the bound sum_i |x_ij| sum_k |x_ik| on the curvature, so
     that rare words move as fast as frequent ones.
     """
-    starts, places, values = rows
-    count, lengths = len(good), np.diff(starts)
-    owner = np.repeat(np.arange(count), lengths)
-    mass = np.bincount(owner, weights=np.abs(values), minlength=count) + 1
-    curve = np.bincount(places, weights=np.abs(values) * mass[owner], minlength=size) / (4 * count) + l2 + 1e-12
+    count = len(good)
+    size_of = (rows[0], rows[1], None if rows[2] is None else np.abs(rows[2]))
+    mass = _log_odds(size_of, (np.ones(size), 1.0))
+    curve = _column_sums(size_of, mass, size) / (4 * count) + l2 + 1e-12
     start_curve = mass.sum() / (4 * count)
     now, shift = np.zeros(size), 0.0
     ahead, ahead_shift, pace = now, shift, 1.0
     for _ in range(steps):
         off = 1 / (1 + np.exp(-_log_odds(rows, (ahead, ahead_shift)))) - good
-        slope = np.bincount(places, weights=off[owner] * values, minlength=size) / count + l2 * ahead
+        slope = _column_sums(rows, off, size) / count + l2 * ahead
         moved = ahead - slope / curve
         moved = np.sign(moved) * np.maximum(np.abs(moved) - l1 / curve, 0)
         moved_shift = ahead_shift - off.mean() / start_curve
@@ -140,31 +173,26 @@ def fit_line(columns: np.ndarray, good: np.ndarray, steps: int = 30) -> np.ndarr
     return line
 
 
-def co_train(views: dict, good: np.ndarray, part: np.ndarray, rounds: int, confident: float):
+def co_train(views: dict[str, Rows], good: np.ndarray, part: np.ndarray, rounds: int, confident: float):
     """Both views' models, their calibration and the combination, from rows in `part` train, held or pool."""
-
-    def rows_of(view: str, chosen: np.ndarray):
-        starts, places, values = views[view]
-        lengths = np.diff(starts)[chosen]
-        at = np.repeat(starts[chosen] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-        return np.concatenate([[0], np.cumsum(lengths)]), places[at], values[at]
-
     sizes = {"content": 1 << WORD_BITS, "layout": LAYOUT}
-    train, held, pool = (np.flatnonzero(part == name) for name in ("train", "held", "pool"))
-    told = {view: (train, good[train]) for view in sizes}
+    train, held, pool = (part == name for name in ("train", "held", "pool"))
+    told = {view: (train, good) for view in sizes}
     edge = math.log(confident / (1 - confident))
     models: dict = {}
     for number in range(rounds + 1):
         for view, size in sizes.items():
             chosen, known = told[view]
             l1, l2, steps = FITTING[view]
-            models[view] = fit_logistic(rows_of(view, chosen), known, size, l1 / math.sqrt(len(chosen)), l2, steps)
-        if number < rounds and len(pool):
+            models[view] = fit_logistic(
+                chosen_rows(views[view], chosen), known[chosen], size, l1 / math.sqrt(chosen.sum()), l2, steps
+            )
+        if number < rounds and pool.any():
             for own, other in (("content", "layout"), ("layout", "content")):
-                odds = _log_odds(rows_of(other, pool), models[other])
-                sure = np.abs(odds) >= edge
-                told[own] = np.concatenate([train, pool[sure]]), np.concatenate([good[train], (odds[sure] > 0) * 1.0])
-    odds = {view: _log_odds(rows_of(view, held), models[view]) for view in sizes}
+                odds = _log_odds(views[other], models[other])
+                sure = pool & (np.abs(odds) >= edge)
+                told[own] = train | sure, np.where(sure, odds > 0, good).astype(float)
+    odds = {view: _log_odds(views[view], models[view])[held] for view in sizes}
     scales = {view: fit_line(odds[view][:, None], good[held]) for view in sizes}
     calibrated = np.column_stack([odds[view] * scales[view][0] + scales[view][1] for view in sizes])
     return models, scales, fit_line(calibrated, good[held])
@@ -185,7 +213,7 @@ class QualityModel:
         self.views, self.scales, self.mix = views, scales, mix
 
 
-_VIEWS = pa.struct([("content", pa.list_(pa.int64())), ("layout", pa.list_(pa.int64())), ("numbers", pa.list_(pa.float64()))])
+_VIEWS = pa.struct([("content", pa.list_(pa.int32())), ("layout", pa.list_(pa.int32())), ("numbers", pa.list_(pa.float64()))])
 
 
 def _both_views(texts: pa.Array, langs: pa.Array, sources: pa.Array, sizes: pa.Array) -> pa.Array:
@@ -222,7 +250,7 @@ def fit_quality(
         {"good": F.lit(0.0), "part": F.lit("pool")}
     )
     both = labelled.unionByName(pool)
-    seen = F.arrow_udf(_both_views, "struct<content: array<bigint>, layout: array<bigint>, numbers: array<double>>")
+    seen = F.arrow_udf(_both_views, "struct<content: array<int>, layout: array<int>, numbers: array<double>>")
     sample = stage(
         both.select("good", "part", seen(utf8("text"), F.col("lang"), F.col("source"), F.col("n_chars")).alias("v")).select(
             "good", "part", "v.*"
@@ -234,13 +262,16 @@ def fit_quality(
         return None
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches)).combine_chunks()
-        column = {name: rows.column(name).combine_chunks() for name in rows.column_names}
-        views = {
-            "content": sparse_rows(column["content"], None), "layout": sparse_rows(column["layout"], column["numbers"])
-        }
-        part = np.array(column["part"].to_pylist())
-        models, scales, mix = co_train(views, column["good"].to_numpy(), part, rounds, confident)
+        content, layout, good, part = [], [], [], []
+        for batch in batches:
+            content.append((batch.column("content"), None))
+            layout.append((batch.column("layout"), batch.column("numbers")))
+            good.append(batch.column("good").to_numpy())
+            part += batch.column("part").to_pylist()
+        views = {"content": sparse_rows(content), "layout": sparse_rows(layout)}
+        content.clear()
+        layout.clear()
+        models, scales, mix = co_train(views, np.concatenate(good), np.array(part), rounds, confident)
         values = [[view, [*models[view][0], models[view][1]], list(scales[view])] for view in views] + [["mix", [], list(mix)]]
         yield pa.RecordBatch.from_arrays(
             [pa.array([v[k] for v in values], type=t) for k, t in enumerate((pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64())))],

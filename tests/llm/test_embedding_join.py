@@ -46,6 +46,7 @@ def clustered(dims, seed):
 @pytest.mark.parametrize("block_rows,blocks,grid", [(8192, 4, 2), (16, 4, 2), (16, 8, 1), (8192, 1, 3)])
 def test_matches_all_pairs(spark, monkeypatch, block_rows, blocks, grid):
     monkeypatch.setattr(embedding_join, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(embedding_join, "BROADCAST_BYTES", 0 if block_rows == 16 else 1 << 25)
     rows = list(enumerate(clustered(16, 1) + clustered(3, 2) + clustered(1, 3)[:4]))
     rows += [(1000, rows[0][1]), (1001, rows[0][1]), (5, rows[5][1]), (None, rows[7][1])]
     rows += [(2000, None), (2001, []), (2002, [0.0] * 16), (2003, [float("nan")] * 16), (2004, [None, 1.0]), (2005, [float("inf"), 1.0])]

@@ -50,9 +50,10 @@ def copies():
     return rows
 
 
-@pytest.mark.parametrize("block_rows", [2048, 4])
-def test_matches_all_pairs(spark, copies, monkeypatch, block_rows):
+@pytest.mark.parametrize("block_rows,broadcast", [(2048, 1 << 25), (4, 0)])
+def test_matches_all_pairs(spark, copies, monkeypatch, block_rows, broadcast):
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(jaccard, "BROADCAST_BYTES", broadcast)
     got = {r.doc_id: r for r in join_documents(spark.createDataFrame(copies, "doc_id long, text string")).collect()}
     links, components = brute_force(copies)
     assert [got[i].n_links for i, _ in copies] == links

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from rankloom.llm import line_dedup
 from rankloom.llm.line_dedup import MIN_CHARS, dedup_lines, deletion_keys
 
 
@@ -54,7 +55,9 @@ def rows():
     return [*made, made[0], (500, None), (501, ""), (502, " \n\t")]
 
 
-def test_matches_all_pairs(spark, rows):
+@pytest.mark.parametrize("broadcast", [1 << 24, 0])
+def test_matches_all_pairs(spark, rows, monkeypatch, broadcast):
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", broadcast)
     near, first = brute_force(rows)
     got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows)

@@ -74,7 +74,7 @@ def test_views_swap_confident_labels():
     good = (chance.random(count) < 0.5).astype(float)
     part = np.array(["train"] * 40 + ["held"] * 200 + ["pool"] * (count - 240))
     starts = np.arange(count + 1)
-    content = (starts, (good * 2 + chance.integers(0, 2, count)).astype(int), np.ones(count))
+    content = (starts, (good * 2 + chance.integers(0, 2, count)).astype(int), None)
     layout = (starts, np.where(chance.random(count) < 0.8, good * 20, 10 + good * 20).astype(int) + chance.integers(0, 10, count), np.ones(count))
     held = part == "held"
 
