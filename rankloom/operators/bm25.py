@@ -86,7 +86,7 @@ def build_index(
     kept = corpus.select("doc_id", F.col("title") if "title" in corpus.columns else F.lit(None).cast("string").alias("title"), "text")
     (
         kept.repartition(buckets, "doc_id").write.bucketBy(buckets, "doc_id").sortBy("doc_id")
-        .option("path", f"{path}/texts").saveAsTable(_table_name())
+        .option("path", f"{path}/texts").saveAsTable(_table_name("texts"))
     )
     texts = _bucketed(spark, f"{path}/texts", kept, buckets, "doc_id")
     # Read bucket by bucket: no second shuffle.
@@ -98,7 +98,7 @@ def build_index(
     postings = occurrences.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     (
         postings.write.bucketBy(buckets, "doc_id").sortBy("term")
-        .option("path", f"{path}/postings").saveAsTable(_table_name())
+        .option("path", f"{path}/postings").saveAsTable(_table_name("postings"))
     )
     written = _bucketed(spark, f"{path}/postings", postings, buckets, "term")
     (
@@ -144,13 +144,13 @@ def load_index(spark: SparkSession, path: str) -> BM25Index:
     )
 
 
-def _table_name() -> str:
-    return f"rankloom_index_{uuid.uuid4().hex[:12]}"
+def _table_name(kind: str) -> str:
+    return f"rankloom_{kind}_{uuid.uuid4().hex[:12]}"
 
 
 def _bucketed(spark: SparkSession, path: str, like: DataFrame, buckets: int, order: str) -> DataFrame:
     """External table over existing bucket files, so that readers know the files are split by document."""
-    name = _table_name()
+    name = _table_name(path.rstrip("/").rsplit("/", 1)[-1])
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in like.schema.fields)
     place = path.replace("\\", "\\\\").replace("'", "\\'")
     spark.sql(
