@@ -35,8 +35,8 @@ def text_key(column: str = "text") -> Column:
 def prepare_python(spark: SparkSession) -> None:
     """Readies the session for operators with Python tasks.
 
-    Ships this package to the executors once (as `--py-files` would), and lets an Arrow batch hold fewer
-    rows: with whole long texts, the default of 10,000 rows needs too much memory.
+    Ships this package to the executors once (as `--py-files` would; only the driver reads the archive, Spark
+    serves it to the executors), and lets an Arrow batch hold fewer rows: with whole long texts, the default of 10,000 rows needs too much memory.
     """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_PER_BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
