@@ -2,14 +2,16 @@
 
 The content view sees hashed words only (folded, so neither case nor punctuation); the metadata view sees
 language, source, length and layout statistics, but no words. Each view has a logistic regression. In each
-round, both judge a pool of unlabelled documents, and what one is confident of becomes labelled training
-data of the other. At the end each view is calibrated on held-out labels (Platt scaling), and a third
-regression on the calibrated log-odds combines them. All documents are scored in one pass without a
-shuffle; only the coefficients are broadcast, and their number is fixed.
+round, both judge every unlabelled document, and what one is confident of becomes training data of the
+other: the pseudo-labels are summed by class and feature in one pass, and the log ratios of these sums and
+those of the labelled rows (naive Bayes) enter the other's next fit as one more column, whose weight the labelled rows decide. At the
+end each view is calibrated on held-out labels (Platt scaling), and a third regression on the calibrated
+log-odds combines them. All documents are scored in one pass without a shuffle; only the coefficients are
+broadcast, and their number is fixed.
 
-Good means labelled quality 1 and not toxic. Fitting uses a sample of at most `fit_rows` labelled and
-`pool_rows` unlabelled documents, picked by a hash of the id; the fold of a document is a hash of its text,
-so copies never stand in both the training and the held-out part.
+Good means labelled quality 1 and not toxic. Labelled rows are a sample of at most `fit_rows`, picked by a
+hash of the id; unlabelled ones (without id too) all take part. The fold of a document is a hash of its
+text, so copies never stand in both the training and the held-out part.
 
 Defined cases: null text is empty text; null language, source and n_chars are values of their own; labels
 with a null doc_id or null quality are ignored, of several labels of one id the worst counts, null toxic is
@@ -33,7 +35,6 @@ from rankloom.plans.joins import broadcast_if_small
 from rankloom.llm.tables import stage
 
 FIT_ROWS = 20_000
-POOL_ROWS = 20_000
 ROUNDS = 2
 CONFIDENT = 0.98
 KEEP_FROM = 0.3
@@ -43,6 +44,8 @@ WORD_BITS = 17
 #: (L1 penalty times the root of the row count, L2 penalty, steps) of each view; L1 leaves few of the many words
 #: with a weight, and falls with the noise as rows grow.
 FITTING = {"content": (0.04, 0.0, 120), "layout": (0.0, 1e-4, 100)}
+#: (documents that stand for the prior, standard errors taken off) of each view's log ratios of pseudo-labels.
+RATIOS = {"content": (1.0, 3.0), "layout": (1.0, 0.0)}
 
 #: Steps into which each layout share is cut, so that a linear model can bend.
 STEPS = np.array([0.0005, 0.002, 0.01, 0.03, 0.06, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])
@@ -50,6 +53,8 @@ _CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123
 CODES = {"lang": 32, "source": 256}
 SHARES = len(_CLASSES) + 5
 LAYOUT = SHARES * (len(STEPS) + 2) + 32 + sum(CODES.values())
+SIZES = {"content": 1 << WORD_BITS, "layout": LAYOUT}
+OTHER = {"content": "layout", "layout": "content"}
 
 
 def content_view(raw: bytes | None) -> tuple[np.ndarray, np.ndarray]:
@@ -134,32 +139,48 @@ def _column_sums(rows: Rows, by_row: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def fit_logistic(rows: Rows, good: np.ndarray, size: int, l1: float, l2: float, steps: int) -> tuple[np.ndarray, float]:
+def fit_logistic(
+    rows: Rows, good: np.ndarray, size: int, l1: float, l2: float, steps: int, hint: np.ndarray | None = None
+) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated proximal gradient steps.
 
     Each coefficient has a step of its own, from the bound sum_i |x_ij| sum_k |x_ik| on the curvature, so
-    that rare words move as fast as frequent ones.
+    that rare words move as fast as frequent ones. `hint` holds coefficients learnt elsewhere: the rows'
+    log-odds under it are one more column, without penalty and with a weight of 0 or more.
     """
     count = len(good)
     size_of = (rows[0], rows[1], None if rows[2] is None else np.abs(rows[2]))
     mass = _log_odds(size_of, (np.ones(size), 1.0))
+    column, middle, unit = np.zeros(count), 0.0, 0.0
+    if hint is not None:
+        column = _log_odds(rows, (hint, 0.0))
+        middle = column.mean()
+        unit = math.sqrt(mass.mean()) / max(column.std(), 1e-9)
+        column = (column - middle) * unit
+        mass += np.abs(column)
+    column_curve = (np.abs(column) * mass).sum() / (4 * count) + 1e-12
     curve = _column_sums(size_of, mass, size) / (4 * count) + l2 + 1e-12
     start_curve = mass.sum() / (4 * count)
     now, shift = np.zeros(size), 0.0
     ahead, ahead_shift, pace = now, shift, 1.0
+    trust = ahead_trust = 0.0
     for _ in range(steps):
-        off = 1 / (1 + np.exp(-_log_odds(rows, (ahead, ahead_shift)))) - good
+        off = 1 / (1 + np.exp(-_log_odds(rows, (ahead, ahead_shift)) - ahead_trust * column)) - good
         slope = _column_sums(rows, off, size) / count + l2 * ahead
         moved = ahead - slope / curve
         moved = np.sign(moved) * np.maximum(np.abs(moved) - l1 / curve, 0)
         moved_shift = ahead_shift - off.mean() / start_curve
+        moved_trust = max(0.0, ahead_trust - (off * column).mean() / column_curve)
         if ((ahead - moved) * curve) @ (moved - now) > 0:  # the momentum points uphill
             pace = 1.0
         faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
         ahead = moved + (pace - 1) / faster * (moved - now)
         ahead_shift = moved_shift + (pace - 1) / faster * (moved_shift - shift)
-        now, shift, pace = moved, moved_shift, faster
-    return now, shift
+        ahead_trust = moved_trust + (pace - 1) / faster * (moved_trust - trust)
+        now, shift, trust, pace = moved, moved_shift, moved_trust, faster
+    if hint is None:
+        return now, shift
+    return now + trust * unit * hint, shift - trust * unit * middle
 
 
 def fit_line(columns: np.ndarray, good: np.ndarray, steps: int = 30) -> np.ndarray:
@@ -173,29 +194,65 @@ def fit_line(columns: np.ndarray, good: np.ndarray, steps: int = 30) -> np.ndarr
     return line
 
 
+def class_sums(rows: Rows, classes: tuple[np.ndarray, np.ndarray], size: int) -> np.ndarray:
+    """For the rows flagged as bad and as good, how many hold each feature, and last how many there are."""
+    present = (*rows[:2], None)
+    return np.stack([np.append(_column_sums(present, own.astype(float), size), own.sum()) for own in classes])
+
+
+def pseudo_sums(views: dict[str, Rows], models: dict, confident: float) -> dict[str, np.ndarray]:
+    """For each view the `class_sums` of what the other view is sure of."""
+    edge = math.log(confident / (1 - confident))
+    out = {}
+    for view, other in OTHER.items():
+        odds = _log_odds(views[other], models[other])
+        out[view] = class_sums(views[view], (odds <= -edge, odds >= edge), SIZES[view])
+    return out
+
+
+def log_ratios(sums: np.ndarray, prior: float, errors: float) -> np.ndarray | None:
+    """Coefficients from the `class_sums` of a view, nearer to 0 by their standard errors; None if a class has no rows."""
+    if not sums[:, -1].all():
+        return None
+    (bad, good), share = sums[:, :-1], sums[1, -1] / sums[:, -1].sum()
+    good, bad = good + prior * share, bad + prior * (1 - share)
+    ratios = np.log(good / bad) - math.log(share / (1 - share))
+    error = np.sqrt(1 / ((good + bad) * share * (1 - share)))  # if the classes held the feature equally often
+    return np.sign(ratios) * np.maximum(np.abs(ratios) - errors * error, 0)
+
+
+def fit_views(views: dict[str, Rows], good: np.ndarray, train: np.ndarray, sums: dict[str, np.ndarray] | None) -> dict:
+    """Both views' models from the rows in `train` and the sums of the pseudo-labels.
+
+    The ratios are those of pseudo-labels and labels together, so that pseudo-labels of one class count too.
+    """
+    models = {}
+    for view, size in SIZES.items():
+        l1, l2, steps = FITTING[view]
+        hint = None
+        if sums is not None and sums[view].any():
+            labelled = class_sums(views[view], (train & (good == 0), train & (good == 1)), size)
+            hint = log_ratios(labelled + sums[view], *RATIOS[view])
+        models[view] = fit_logistic(chosen_rows(views[view], train), good[train], size, l1 / math.sqrt(train.sum()), l2, steps, hint)
+    return models
+
+
+def combine(views: dict[str, Rows], models: dict, good: np.ndarray, held: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Calibration of each view and their combination, from the rows in `held`."""
+    odds = {view: _log_odds(views[view], models[view])[held] for view in SIZES}
+    scales = {view: fit_line(odds[view][:, None], good[held]) for view in SIZES}
+    calibrated = np.column_stack([odds[view] * scales[view][0] + scales[view][1] for view in SIZES])
+    return scales, fit_line(calibrated, good[held])
+
+
 def co_train(views: dict[str, Rows], good: np.ndarray, part: np.ndarray, rounds: int, confident: float):
     """Both views' models, their calibration and the combination, from rows in `part` train, held or pool."""
-    sizes = {"content": 1 << WORD_BITS, "layout": LAYOUT}
     train, held, pool = (part == name for name in ("train", "held", "pool"))
-    told = {view: (train, good) for view in sizes}
-    edge = math.log(confident / (1 - confident))
-    models: dict = {}
-    for number in range(rounds + 1):
-        for view, size in sizes.items():
-            chosen, known = told[view]
-            l1, l2, steps = FITTING[view]
-            models[view] = fit_logistic(
-                chosen_rows(views[view], chosen), known[chosen], size, l1 / math.sqrt(chosen.sum()), l2, steps
-            )
-        if number < rounds and pool.any():
-            for own, other in (("content", "layout"), ("layout", "content")):
-                odds = _log_odds(views[other], models[other])
-                sure = pool & (np.abs(odds) >= edge)
-                told[own] = train | sure, np.where(sure, odds > 0, good).astype(float)
-    odds = {view: _log_odds(views[view], models[view])[held] for view in sizes}
-    scales = {view: fit_line(odds[view][:, None], good[held]) for view in sizes}
-    calibrated = np.column_stack([odds[view] * scales[view][0] + scales[view][1] for view in sizes])
-    return models, scales, fit_line(calibrated, good[held])
+    unlabelled = {view: chosen_rows(rows, pool) for view, rows in views.items()}
+    models = fit_views(views, good, train, None)
+    for _ in range(rounds):
+        models = fit_views(views, good, train, pseudo_sums(unlabelled, models, confident) if pool.any() else None)
+    return models, *combine(views, models, good, held)
 
 
 def _sample(rows: DataFrame, most: int) -> DataFrame:
@@ -224,14 +281,48 @@ def _both_views(texts: pa.Array, langs: pa.Array, sources: pa.Array, sizes: pa.A
     return pa.array(out, type=_VIEWS)
 
 
+def _rows_of(batches: list[pa.RecordBatch]) -> dict[str, Rows]:
+    return {
+        "content": sparse_rows([(b.column("content"), None) for b in batches]),
+        "layout": sparse_rows([(b.column("layout"), b.column("numbers")) for b in batches]),
+    }
+
+
+def pool_sums(pool: DataFrame, models: dict, confident: float) -> dict[str, np.ndarray]:
+    """`pseudo_sums` over all rows of a table of features; each task sums its rows, then features are added up by a shuffle."""
+    held = pool.sparkSession.sparkContext.broadcast(models)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {view: np.zeros((2, size + 1)) for view, size in SIZES.items()}
+        for batch in batches:
+            if batch.num_rows:
+                for view, sums in pseudo_sums(_rows_of([batch]), held.value, confident).items():
+                    total[view] += sums
+        for view, (bad, good) in total.items():
+            places = np.flatnonzero(bad + good)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([view] * len(places), pa.string()), pa.array(places), pa.array(bad[places]), pa.array(good[places])],
+                names=["view", "place", "bad", "good"],
+            )
+
+    found = pool.select("content", "layout", "numbers").mapInArrow(judge, "view string, place long, bad double, good double")
+    table = found.groupBy("view", "place").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()
+    held.unpersist()
+    views, places = np.array(table["view"].to_pylist(), dtype=str), table["place"].to_numpy()
+    both = np.stack([table["bad"].to_numpy(), table["good"].to_numpy()])
+    out = {view: np.zeros((2, size + 1)) for view, size in SIZES.items()}
+    for view, sums in out.items():
+        sums[:, places[views == view]] = both[:, views == view]
+    return out
+
+
 def fit_quality(
-    docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS,
-    confident: float = CONFIDENT,
+    docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, rounds: int = ROUNDS, confident: float = CONFIDENT
 ) -> QualityModel | None:
-    """Co-trains on samples of bounded size; None if the labels don't hold both classes.
+    """Co-trains on a bounded sample of labelled and on all unlabelled rows; None if the labels don't hold both classes.
 
-    The samples' features (about 1 KB for each document) are made in parallel, written, and fitted in one
-    task, whose input the two bounds limit; a fixed number of coefficients comes back.
+    All features (about 1 KB for each document) are made in parallel and written. Each round is one pass over
+    those of the unlabelled rows, whose sums are of fixed size, and one task that fits the labelled sample.
     """
     spark = docs.sparkSession
     prepare_python(spark)
@@ -241,50 +332,48 @@ def fit_quality(
     )
     columns = docs.select("doc_id", "text", "lang", "source", "n_chars")
     fold = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(FOLDS))
+    seen = F.arrow_udf(_both_views, "struct<content: array<int>, layout: array<int>, numbers: array<double>>")
+    features = seen(utf8("text"), F.col("lang"), F.col("source"), F.col("n_chars")).alias("v")
     labelled = columns.join(broadcast_if_small(stage(_sample(known, fit_rows), "quality_known")), "doc_id").withColumn(
         "part", F.when(fold == 0, "held").otherwise("train")
     )
-    ids = columns.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
-    rest = _sample(ids.join(broadcast_if_small(known.select("doc_id")), "doc_id", "left_anti"), pool_rows)
-    pool = columns.join(broadcast_if_small(stage(rest, "quality_rest")), "doc_id").withColumns(
-        {"good": F.lit(0.0), "part": F.lit("pool")}
-    )
-    both = labelled.unionByName(pool)
-    seen = F.arrow_udf(_both_views, "struct<content: array<int>, layout: array<int>, numbers: array<double>>")
-    sample = stage(
-        both.select("good", "part", seen(utf8("text"), F.col("lang"), F.col("source"), F.col("n_chars")).alias("v")).select(
-            "good", "part", "v.*"
-        ),
-        "quality_sample",
-    )
-    classes = {(r["part"], r["good"]) for r in sample.filter("part <> 'pool'").select("part", "good").distinct().collect()}
+    sample = stage(labelled.select("good", "part", features).select("good", "part", "v.*"), "quality_sample")
+    classes = {(r["part"], r["good"]) for r in sample.select("part", "good").distinct().collect()}
     if len(classes) < 4:
         return None
+    rest = columns.join(broadcast_if_small(known.select("doc_id")), "doc_id", "left_anti")
+    pool = stage(rest.select(features).select("v.*"), "quality_pool")
+
+    def fitted(sums: dict[str, np.ndarray] | None) -> tuple[dict, dict[str, list[float]], list[float]]:
+        held_sums = spark.sparkContext.broadcast(sums)
+
+        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = list(batches)
+            good = np.concatenate([b.column("good").to_numpy() for b in own])
+            part = np.concatenate([np.array(b.column("part").to_pylist()) for b in own])
+            views = _rows_of(own)
+            own.clear()
+            models = fit_views(views, good, part == "train", held_sums.value)
+            scales, mix = combine(views, models, good, part == "held")
+            values = [[view, [*models[view][0], models[view][1]], list(scales[view])] for view in views] + [["mix", [], list(mix)]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([v[k] for v in values], type=t) for k, t in enumerate((pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64())))],
+                names=["view", "model", "line"],
+            )
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        content, layout, good, part = [], [], [], []
-        for batch in batches:
-            content.append((batch.column("content"), None))
-            layout.append((batch.column("layout"), batch.column("numbers")))
-            good.append(batch.column("good").to_numpy())
-            part += batch.column("part").to_pylist()
-        views = {"content": sparse_rows(content), "layout": sparse_rows(layout)}
-        content.clear()
-        layout.clear()
-        models, scales, mix = co_train(views, np.concatenate(good), np.array(part), rounds, confident)
-        values = [[view, [*models[view][0], models[view][1]], list(scales[view])] for view in views] + [["mix", [], list(mix)]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([v[k] for v in values], type=t) for k, t in enumerate((pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64())))],
-            names=["view", "model", "line"],
-        )
-
-    fitted = {
-        row["view"]: row
-        for row in sample.repartition(1).sortWithinPartitions("part", "good", "content", "layout").mapInArrow(
-            fit, "view string, model array<double>, line array<double>").collect()
-    }
-    models = {v: (np.array(fitted[v]["model"][:-1]), fitted[v]["model"][-1]) for v in ("content", "layout")}
-    return QualityModel(models, {v: list(fitted[v]["line"]) for v in models}, list(fitted["mix"]["line"]))
+        rows = {
+            row["view"]: row
+            for row in sample.repartition(1).sortWithinPartitions("part", "good", "content", "layout").mapInArrow(
+                fit, "view string, model array<double>, line array<double>").collect()
+        }
+        held_sums.unpersist()
+        models = {v: (np.array(rows[v]["model"][:-1]), rows[v]["model"][-1]) for v in SIZES}
+        return models, {v: list(rows[v]["line"]) for v in SIZES}, list(rows["mix"]["line"])
+
+    model = fitted(None)
+    for _ in range(rounds):
+        model = fitted(pool_sums(pool, model[0], confident))
+    return QualityModel(*model)
 
 
 def score_quality(docs: DataFrame, model: QualityModel | None, keep_from: float = KEEP_FROM) -> DataFrame:

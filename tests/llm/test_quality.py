@@ -86,6 +86,43 @@ def test_views_swap_confident_labels():
     assert accuracy(2) > accuracy(0)
 
 
+def test_every_unlabelled_document_is_judged(spark, monkeypatch):
+    rows, labels = corpus(6, 400)
+    spare = [(1000 + i, f"word{i % 300} word{i % 7}", "en", "a", 12) for i in range(21_000)] + [(None, "word1 word2", "en", "a", 11)]
+    seen = []
+    whole = quality.pool_sums
+
+    def counted(pool, models, confident):
+        seen.append(pool.count())
+        return whole(pool, models, confident)
+
+    monkeypatch.setattr(quality, "pool_sums", counted)
+    fit_quality(spark.createDataFrame(rows + spare, SCHEMA), spark.createDataFrame(labels, LABELS))
+    assert seen == [len(rows) + len(spare) - len(labels)] * quality.ROUNDS
+
+
+def test_pool_sums_equal_those_of_one_task(spark):
+    texts = [row[1] for row in corpus(9, 300)[0]]
+    views = [(content_view(t.encode())[0].tolist(), *map(np.ndarray.tolist, layout_view(t.encode(), "en", "a", len(t)))) for t in texts]
+    pool = spark.createDataFrame(views, "content array<int>, layout array<int>, numbers array<double>").repartition(5)
+    chance = np.random.default_rng(8)
+    models = {view: (chance.standard_normal(size) / 5, 0.0) for view, size in quality.SIZES.items()}
+    alone = quality.pseudo_sums(quality._rows_of(pool.toArrow().to_batches()), models, 0.6)
+    spread = quality.pool_sums(pool, models, 0.6)
+    assert all((spread[v] == alone[v]).all() and alone[v][:, -1].all() for v in quality.SIZES)
+
+
+def test_pseudo_labels_of_one_class_count():
+    """Word 7 stands in no labelled row; the pseudo-labels, all bad, tell of it."""
+    rows = (np.arange(101), np.tile([1, 2], 50), None)
+    layout = (np.arange(101), np.tile([1, 2], 50), np.ones(100))
+    good = np.tile([1.0, 0.0], 50)
+    sums = {view: np.zeros((2, size + 1)) for view, size in quality.SIZES.items()}
+    sums["content"][0, [2, 7, -1]] = 400
+    models = quality.fit_views({"content": rows, "layout": layout}, good, np.ones(100, bool), sums)
+    assert models["content"][0][7] < 0 and models["content"][0][8] == 0
+
+
 def test_edge_cases(spark, edge_docs, empty_docs):
     none = spark.createDataFrame([], LABELS)
     assert fit_quality(edge_docs, none) is None
