@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pkgutil
+
 _AS_IS = (
     "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL "
     "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
@@ -69,6 +71,38 @@ TEXTS = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 ]
 
+#: Title lines under which a licence stands, or "" for none; each of its whole texts that has a title is listed under all of them.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", ""],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", ""],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)", ""],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License", ""],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "Modified BSD License", ""],
+}
+
+
+def _under_titles(licence: str, text: str) -> list[tuple[str, str]]:
+    """The other forms of a text of several paragraphs, of which the first may be its title."""
+    titles = TITLES.get(licence, [])
+    if "\n\n" not in text:
+        return []
+    first, rest = text.split("\n\n", 1)
+    body = rest if first in titles else text
+    forms = [f"{title}\n\n{body}" if title else body for title in titles]
+    return [(licence, form) for form in forms if form != text]
+
+
+TEXTS += [form for licence, text in TEXTS for form in _under_titles(licence, text)]
+
+#: Licences kept as files, as their publishers give them.
+_FILES = ["Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"]
+_END = "END OF TERMS AND CONDITIONS"
+for _name in _FILES:
+    _text = pkgutil.get_data(__package__, f"licence_files/{_name}.txt").decode()
+    TEXTS.append((_name, _text))
+    if _END in _text:  # often left off: how to apply the licence
+        TEXTS += [(_name, _text[: _text.index(_END)]), (_name, _text[: _text.index(_END) + len(_END)])]
+
 #: (spelling, spelling that it counts as), whole folded words.
 SPELLINGS = [
     ("licence", "license"),

@@ -44,6 +44,18 @@ def test_known_texts_differ(spark, known):
     assert all(r.licence == names[r.doc_id] for r in scan_licences(docs, known).collect())
 
 
+def test_titles_and_whole_licences(spark, known):
+    body = MIT.split("\n\n", 1)[1]
+    whole = {name: text for name, text in TEXTS if len(text) > 6000}
+    assert {"Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"} <= set(whole)
+    forms = [("MIT", body), ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2020 X\n\n" + body)]
+    forms += [(n, t.split("\n\n", 1)[1]) for n, t in TEXTS if n in ("ISC", "BSD-2-Clause") and t.startswith(n[:3] + " ")]
+    forms += [(n, t.upper()) for n, t in whole.items()]
+    docs = spark.createDataFrame([(i, t, n) for i, (n, t) in enumerate(forms)], "doc_id long, text string, name string")
+    got = {r.doc_id: r.licence for r in scan_licences(docs, known).collect()}
+    assert [got[i] for i in range(len(forms))] == [n for n, _ in forms]
+
+
 def test_edge_cases(spark, known, edge_docs, empty_docs):
     got = scan_licences(edge_docs, known).collect()
     assert len(got) == edge_docs.count() and not any(r.found for r in got)
