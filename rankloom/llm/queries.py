@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import decontaminate, embedding_join, jaccard, licences, line_dedup, mixture, packing, quality, sharding, url_filter
+from rankloom.llm import collocations, decontaminate, embedding_join, jaccard, licences, line_dedup, mixture, packing, quality, sharding, url_filter
 from rankloom.llm.licence_texts import TEXTS
 
 #: The rules of the registered url query, as (host, path, verdict).
@@ -77,6 +77,10 @@ def op10_embedding_join(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_join.near_duplicates(table(spark, folder, "embeddings"))
 
 
+def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_url_filter": op2_url_filter,
@@ -88,4 +92,5 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_hilbert_sharding": op9_hilbert_sharding,
     "op10_embedding_join": op10_embedding_join,
+    "op11_phrase_collocations": op11_phrase_collocations,
 }

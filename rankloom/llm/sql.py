@@ -216,6 +216,46 @@ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, low) AS
 FROM vectors LEFT JOIN components USING (r) LEFT JOIN counts USING (r)
 """
 
+OP11 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+windows AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS gram
+  FROM words, (VALUES (1), (2), (3)) AS sizes(k), unnest(range(1, len(w) - k + 2)) AS t(i)
+),
+counted AS (SELECT lang, k, gram, count(*) AS f FROM windows GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM counted WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, gram AS phrase, f AS a, string_split(gram, ' ') AS w FROM counted WHERE k >= 2 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, j, array_to_string(w[1:j], ' ') AS lp, array_to_string(w[j + 1:k], ' ') AS rp
+  FROM candidates c, unnest(range(1, k)) AS t(j)
+),
+parts AS MATERIALIZED (SELECT lang, gram, f FROM counted WHERE f >= 10),
+lefts AS MATERIALIZED (SELECT cuts.*, p.f AS l FROM cuts JOIN parts p ON p.lang = cuts.lang AND p.gram = cuts.lp),
+scored AS (
+  SELECT x.lang, x.phrase, x.a, x.j, x.l, p.f AS r, (1000000::HUGEINT * x.a * x.a) // (x.l::HUGEINT * p.f) AS score
+  FROM lefts x JOIN parts p ON p.lang = x.lang AND p.gram = x.rp
+),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[s:s + 1], ' ') AS sub, max(a) AS longer FROM candidates, unnest([1, 2]) AS t(s)
+  WHERE k = 3 GROUP BY ALL
+),
+kept AS (
+  SELECT b.* FROM best b LEFT JOIN inside o ON o.lang = b.lang AND o.sub = b.phrase
+  WHERE o.longer IS NULL OR 100 * o.longer < 50 * b.a
+)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase,
+  CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept JOIN totals USING (lang)
+QUALIFY rank <= 2000
+"""
+
 ORACLE = {
     "op1_decontamination": OP1,
     "op2_url_filter": OP2,
@@ -224,4 +264,5 @@ ORACLE = {
     "op7_line_dedup": OP7,
     "op8_source_mixing": OP8,
     "op10_embedding_join": OP10,
+    "op11_phrase_collocations": OP11,
 }
