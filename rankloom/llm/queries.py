@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import collocations, decontaminate, embedding_join, jaccard, licences, line_dedup, mixture, packing, quality, repacking, sharding, url_filter
+from rankloom.llm import codebooks, collocations, decontaminate, embedding_join, jaccard, licences, line_dedup, mixture, packing, quality, repacking, sharding, url_filter
 from rankloom.llm.licence_texts import TEXTS
 
 #: The rules of the registered url query, as (host, path, verdict).
@@ -81,6 +81,10 @@ def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return codebooks.product_codes(table(spark, folder, "embeddings"))
+
+
 def op13_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = repacking.token_pieces(table(spark, folder, "documents"), repacking.tokenizer_path("word_bpe_49k.json"))
     packed = repacking.pack_pieces(pieces)
@@ -99,5 +103,6 @@ QUERIES = {
     "op9_hilbert_sharding": op9_hilbert_sharding,
     "op10_embedding_join": op10_embedding_join,
     "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_vector_codes": op12_vector_codes,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
