@@ -8,7 +8,11 @@ window lies whole inside the chunk where it starts. Equal chunks, which repeated
 copies produce in numbers, are one dictionary entry with a parse frequency. Windows are counted once inside
 each distinct chunk, for the starts that the chunk owns (those before the next trigger), and weighted by that
 frequency: the overlap is counted by exactly one chunk. The dictionary is a map-side combined aggregation and
-so is the window count; a hot word pair or line costs one row per task before the shuffle.
+so is the window count; a hot word pair or line costs one row per task before the shuffle. Single words are
+counted first; longer windows are only emitted when their first, middle and last words are each seen at least
+`min_count` times (a broadcast semi-join inside the task, before any shuffle), which drops the long tail of
+rare windows without changing any count that is kept. Dictionary, frequent words and frequent windows are
+written once to the shared folder and read by the later steps.
 
 Phrases of 2 to 3 words seen at least `min_count` times are candidates. Each cut of a candidate into a first
 part and a rest gives floor(1e6 * a^2 / (l * r)) in exact decimal arithmetic; the lowest cut counts, ties to
@@ -26,6 +30,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.llm.tables import stage
+from rankloom.plans.joins import broadcast_if_small
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Where pieces end, and what parts words.
@@ -85,21 +92,41 @@ def chunk_dictionary(docs: DataFrame, text: str = "text", lang: str = "lang") ->
     )
 
 
-def window_counts(dictionary: DataFrame) -> DataFrame:
-    """(lang, k, gram, f): occurrences of every window of 1 to MAX_WORDS words, counted inside chunks."""
+def _grams(sizes: list[int]) -> Column:
+    """(k, gram, first, middle, last) of every owned window of the listed sizes in a chunk's words `ws`."""
     ws = F.col("ws")
 
     def grams(k: Column) -> Column:
         owned = F.filter(F.sequence(F.lit(0), F.col("own") - 1), lambda s: s + k <= F.size(ws))
-        return F.transform(owned, lambda s: F.struct(k.alias("k"), F.array_join(F.slice(ws, s + 1, k), " ").alias("gram")))
-
-    every = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(MAX_WORDS)), grams))
-    return (
-        dictionary.select("lang", "freq", "own", F.split("chunk", " ", -1).alias("ws"))
-        .select("lang", "freq", F.explode(every).alias("g"))
-        .groupBy("lang", F.col("g.k").alias("k"), F.col("g.gram").alias("gram"))
-        .agg(F.sum("freq").alias("f"))
-    )
+        return F.transform(
+            owned,
+            lambda s: F.struct(
+                k.alias("k"),
+                F.array_join(F.slice(ws, s + 1, k), " ").alias("gram"),
+                F.element_at(ws, s + 1).alias("first"),
+                F.element_at(ws, s + 1 + F.shiftright(k - 1, 1)).alias("middle"),
+                F.element_at(ws, s + k).alias("last"),
+            ),
+        )
+
+    return F.flatten(F.transform(F.array(*[F.lit(k) for k in sizes]), grams))
+
+
+def window_counts(dictionary: DataFrame, sizes: list[int] = [1, 2, 3], frequent: DataFrame | None = None) -> DataFrame:
+    """(lang, k, gram, f): occurrences of windows of the listed sizes, counted inside chunks.
+
+    With `frequent` (lang, word), only windows whose first, middle and last words are all in it are counted:
+    a window is never seen more often than its rarest word, so this prunes whole windows and leaves the counts
+    of the others exact. The word table is broadcast when it is counted to fit, and else joined.
+    """
+    windows = dictionary.select("lang", "freq", "own", F.split("chunk", " ", -1).alias("ws")).select(
+        "lang", "freq", F.explode(_grams(sizes)).alias("g")
+    ).select("lang", "freq", "g.*")
+    if frequent is not None:
+        words = broadcast_if_small(frequent.select("lang", F.col("word").alias("w")))
+        for place in ("first", "middle", "last"):
+            windows = windows.join(words.withColumnRenamed("w", place), ["lang", place], "left_semi")
+    return windows.groupBy("lang", "k", "gram").agg(F.sum("freq").alias("f"))
 
 
 def _exact_score(a: str, l: str, r: str) -> Column:
@@ -116,9 +143,15 @@ def collocations(
     top: int = TOP,
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score (all numbers long) of the best `top` phrases of each language."""
-    dictionary = chunk_dictionary(docs, text, lang)
-    totals = dictionary.groupBy("lang").agg(F.sum(F.col("freq") * F.col("own")).alias("n"))
-    seen = window_counts(dictionary).filter(F.col("f") >= min_count)
+    dictionary = stage(chunk_dictionary(docs, text, lang), "collocation_chunks")
+    unigrams = window_counts(dictionary, [1])
+    totals = unigrams.groupBy("lang").agg(F.sum("f").alias("n"))
+    frequent = stage(unigrams.filter(F.col("f") >= min_count).select("lang", F.col("gram").alias("word"), "f"), "frequent_words")
+    longer = window_counts(dictionary, list(range(2, MAX_WORDS + 1)), frequent).filter(F.col("f") >= min_count)
+    seen = stage(
+        frequent.select("lang", F.lit(1).alias("k"), F.col("word").alias("gram"), "f").unionByName(longer),
+        "frequent_windows",
+    )
     candidates = seen.filter(F.col("k") >= 2).select("lang", "k", F.col("gram").alias("phrase"), F.col("f").alias("a"))
 
     words = F.split("phrase", " ", -1)
