@@ -26,8 +26,15 @@ EPSILON = 0.25
 SCORE_DIGITS = 6
 PAD_CHUNK = 8192
 PUSHED_TERMS = 64
+SCAN_BLOCKS = 256
 FIRST_IDS = 4096
 BUCKET_BYTES = 256 * 1024 * 1024
+#: Documents are dealt by a hash of their id into blocks of about this many; each block keeps the best weight of each term.
+BLOCK_DOCS = 512
+#: The blocks with the highest bounds that each query scores first, for its threshold.
+PROBE_BLOCKS = 2
+#: Scores are rounded to SCORE_DIGITS: a block whose bound is this far below a threshold cannot reach it once rounded.
+BOUND_SLACK = 2 * 10.0 ** -SCORE_DIGITS
 
 
 @dataclass(frozen=True)
@@ -43,6 +50,8 @@ class BM25Index:
     k1: float = K1
     b: float = B
     epsilon: float = EPSILON
+    block_max: DataFrame | None = None  # term, block, max_weight; None for indexes written without blocks
+    n_blocks: int = 0
 
     @property
     def term_stats(self) -> DataFrame:
@@ -59,8 +68,16 @@ class BM25Index:
 
     def term_weight(self) -> Column:
         """The part of a term's score that does not depend on the query or on idf."""
-        length = F.lit(1.0 - self.b) + F.lit(self.b / self.avgdl) * F.col("dl")
-        return F.col("tf") * F.lit(self.k1 + 1.0) / (F.col("tf") + F.lit(self.k1) * length)
+        return weight_of(self.k1, self.b, self.avgdl)
+
+
+def weight_of(k1: float, b: float, avgdl: float) -> Column:
+    length = F.lit(1.0 - b) + F.lit(b / avgdl) * F.col("dl")
+    return F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + F.lit(k1) * length)
+
+
+def block_of(doc_id: Column, n_blocks: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(n_blocks)).cast("int")
 
 
 def raw_idf(n_docs: int, df: Column) -> Column:
@@ -89,15 +106,19 @@ def build_index(
         .option("path", f"{path}/texts").saveAsTable(_table_name("texts"))
     )
     texts = _bucketed(spark, f"{path}/texts", kept, buckets, "doc_id")
+    n_blocks = max(1, -(-texts.count() // BLOCK_DOCS))
     # Read bucket by bucket: no second shuffle.
     words = texts.select("doc_id", tokens(F.col("text")).alias("words"))
     # A document without tokens keeps one row with a NULL term, so its length 0 is on record.
     occurrences = words.select(
         "doc_id", F.size("words").cast("long").alias("dl"), F.explode_outer("words").alias("term")
     )
-    postings = occurrences.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    postings = occurrences.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).withColumn(
+        "block", block_of(F.col("doc_id"), n_blocks)
+    )
+    # Within a term, rows follow their block: a block filter skips row groups of frequent terms.
     (
-        postings.write.bucketBy(buckets, "doc_id").sortBy("term")
+        postings.write.bucketBy(buckets, "doc_id").sortBy("term", "block")
         .option("path", f"{path}/postings").saveAsTable(_table_name("postings"))
     )
     written = _bucketed(spark, f"{path}/postings", postings, buckets, "term")
@@ -118,19 +139,25 @@ def build_index(
     ).first()
     terms = spark.read.parquet(f"{path}/term_df")
     mean_idf = terms.agg(F.avg(raw_idf(totals["n"], F.col("df")))).first()[0]
+    (
+        written.filter("term is not null").groupBy("term", "block")
+        .agg(F.max(weight_of(k1, b, totals["avgdl"] or 1.0)).alias("max_weight"))
+        .sortWithinPartitions("term").write.parquet(f"{path}/block_max")
+    )
     spark.createDataFrame(
-        [(totals["n"], totals["avgdl"] or 1.0, mean_idf or 0.0, buckets, k1, b, epsilon)],
-        "n_docs long, avgdl double, mean_idf double, buckets int, k1 double, b double, epsilon double",
+        [(totals["n"], totals["avgdl"] or 1.0, mean_idf or 0.0, buckets, k1, b, epsilon, n_blocks)],
+        "n_docs long, avgdl double, mean_idf double, buckets int, k1 double, b double, epsilon double, n_blocks int",
     ).coalesce(1).write.json(f"{path}/manifest")
     return BM25Index(
         written, spark.read.parquet(f"{path}/doc_stats"), texts, spark.read.parquet(f"{path}/first_ids"), terms,
         totals["n"], totals["avgdl"] or 1.0, mean_idf or 0.0, k1, b, epsilon,
+        spark.read.parquet(f"{path}/block_max"), n_blocks,
     )
 
 
 def load_index(spark: SparkSession, path: str) -> BM25Index:
     """Open index tables written earlier; nothing is recomputed."""
-    facts = spark.read.json(f"{path}/manifest").first()
+    facts = spark.read.json(f"{path}/manifest").first().asDict()
     doc_stats = spark.read.parquet(f"{path}/doc_stats")
     term_df = spark.read.parquet(f"{path}/term_df")
     layout = spark.read.parquet(f"{path}/postings")
@@ -141,6 +168,8 @@ def load_index(spark: SparkSession, path: str) -> BM25Index:
         first_ids=spark.read.parquet(f"{path}/first_ids"),
         n_docs=facts["n_docs"], avgdl=facts["avgdl"], mean_idf=facts["mean_idf"],
         k1=facts["k1"], b=facts["b"], epsilon=facts["epsilon"],
+        block_max=spark.read.parquet(f"{path}/block_max") if "n_blocks" in facts else None,
+        n_blocks=facts["n_blocks"] if "n_blocks" in facts else 0,
     )
 
 
@@ -220,6 +249,65 @@ def score_all(index: BM25Index, queries: DataFrame) -> DataFrame:
     return matched.groupBy("qid", "doc_id").agg(F.round(points, SCORE_DIGITS).alias("score"))
 
 
+def _scores_in_blocks(index: BM25Index, side: QuerySide, terms: DataFrame, blocks: DataFrame) -> DataFrame:
+    """qid, doc_id, score of the documents in the given (qid, block) pairs, which must be broadcastable.
+
+    When few distinct blocks are asked for, they become a scan filter as well: postings are sorted by block
+    within each term, so row groups of other blocks are skipped.
+    """
+    postings = _only(index.postings, side)
+    few = blocks.select("block").distinct().limit(SCAN_BLOCKS + 1).collect()
+    if len(few) <= SCAN_BLOCKS:
+        postings = postings.filter(F.col("block").isin([r["block"] for r in few]))
+    weighted = postings.select("doc_id", "block", "term", index.term_weight().alias("weight"))
+    matched = join_on_term(weighted, terms, "term", "doc_id", side.fits)
+    near = matched.join(F.broadcast(blocks), ["qid", "block"], "left_semi")
+    points = F.sum(F.col("qtf") * F.col("idf") * F.col("weight"))
+    return near.groupBy("qid", "doc_id").agg(F.round(points, SCORE_DIGITS).alias("score"))
+
+
+def kept_blocks(index: BM25Index, queries: DataFrame, k: int, side: QuerySide, terms: DataFrame) -> DataFrame:
+    """qid, block, bound of the blocks that may hold one of a query's k best documents.
+
+    A block's bound is what a document there would score if it held every query term with the block's best
+    weight: no document of the block scores more. Each query first scores its PROBE_BLOCKS best blocks
+    exactly; if they hold k documents, the k-th best score is a threshold that the final list reaches, and a
+    block whose bound is below it (by more than rounding) is left out. Exact: nothing of the top k is lost.
+    """
+    asked = terms.select("qid", "term", (F.col("qtf") * F.col("idf")).alias("qw"))
+    maxima = _only(index.block_max, side)
+    bounds = stage(
+        join_on_term(maxima, asked, "term", "block", side.fits)
+        .groupBy("qid", "block").agg(F.sum(F.col("qw") * F.col("max_weight")).alias("bound")),
+        "block_bounds",
+    )
+    order = Window.partitionBy("qid").orderBy(F.desc("bound"), F.asc("block"))
+    probe = bounds.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= PROBE_BLOCKS).select("qid", "block")
+    first = best_per_query(_scores_in_blocks(index, side, terms, probe), k)
+    threshold = first.groupBy("qid").agg(F.count(F.lit(1)).alias("found"), F.min("score").alias("threshold")).filter(
+        F.col("found") >= k
+    )
+    return bounds.join(F.broadcast(threshold) if side.fits else threshold, "qid", "left").filter(
+        F.col("threshold").isNull() | (F.col("bound") >= F.col("threshold") - F.lit(BOUND_SLACK))
+    ).select("qid", "block", "bound")
+
+
+def score_pruned(index: BM25Index, queries: DataFrame, k: int) -> DataFrame:
+    """The scores of `score_all` for every document that can be among a query's k best (block-max pruning).
+
+    Falls back to `score_all` for indexes without blocks, and when the kept (query, block) pairs are counted
+    too large to broadcast.
+    """
+    if index.block_max is None or not index.n_blocks:
+        return score_all(index, queries)
+    side = measure_queries(queries)
+    terms = stage(weighted_terms(index, query_terms(queries), side), "scored_terms")
+    kept = stage(kept_blocks(index, queries, k, side, terms).select("qid", "block"), "kept_blocks")
+    if not fits_broadcast(kept):
+        return score_all(index, queries)
+    return _scores_in_blocks(index, side, terms, kept)
+
+
 def best_per_query(scored: DataFrame, k: int) -> DataFrame:
     """Adds `rank` (score descending, then doc_id) and keeps the first k per query."""
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doc_id"))
@@ -241,7 +329,7 @@ def top_k(index: BM25Index, queries: DataFrame, k: int) -> DataFrame:
         return _top_k_with_negative_scores(index, queries, k)
     # No score is below 0 here. A list with fewer than k positive scores leaves at least k zeros
     # among the first 2k ids, and those are the smallest zero-score ids there are.
-    best = best_per_query(score_all(index, queries), k)
+    best = best_per_query(score_pruned(index, queries, k), k)
     known = index.first_ids if 2 * k <= FIRST_IDS else index.doc_stats.select("doc_id")
     pool = known.orderBy("doc_id").limit(2 * k).collect()
     if not pool:

@@ -154,3 +154,29 @@ def test_size_check_decides_on_broadcast(spark):
     df = spark.range(1000).withColumn("text", F.lit("x" * 100))
     assert 130_000 < joins.measured_bytes(df) < 160_000
     assert joins.fits_broadcast(df) and not joins.fits_broadcast(df, 1000)
+
+
+def test_block_max_pruning_is_exact_and_skips_blocks(spark, monkeypatch):
+    """Many small blocks, long query table (no term filter): pruned scores give the brute-force lists."""
+    monkeypatch.setattr(bm25, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(bm25, "PROBE_BLOCKS", 8)
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(300)]
+    weights = [1.0 / (i + 1) for i in range(300)]
+    docs = [(d, " ".join(rng.choices(vocabulary, weights, k=rng.randint(5, 40)))) for d in range(400)]
+    queries = [(q, " ".join(rng.sample(vocabulary[:5], 2) + rng.sample(vocabulary[150:], 2))) for q in range(40)]
+    corpus, asked = frames(spark, docs, queries)
+    index = bm25.build_index(corpus, buckets=4)
+    assert index.n_blocks == 50 and bm25.measure_queries(asked).terms is None
+    assert as_lists(bm25.top_k(index, asked, 5)) == brute_force(docs, queries, 5)
+    side = bm25.measure_queries(asked)
+    terms = bm25.weighted_terms(index, bm25.query_terms(asked), side)
+    kept = bm25.kept_blocks(index, asked, 5, side, terms)
+    every = bm25.join_on_term(index.block_max, terms, "term", "block", True).select("qid", "block").distinct()
+    assert kept.count() < every.count() / 2
+    one = kept.filter("qid = 0").select("qid", "block")
+    plan = bm25._scores_in_blocks(index, side, terms, one)._jdf.queryExecution().executedPlan().toString()
+    assert "In(block," in plan.replace(" ", "")
+    blocks = [r.block for r in one.collect()]
+    read = index.postings.filter(F.col("block").isin(blocks))
+    assert read.count() < index.postings.count() / 2
