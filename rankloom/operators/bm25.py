@@ -26,6 +26,8 @@ EPSILON = 0.25
 SCORE_DIGITS = 6
 PAD_CHUNK = 8192
 PUSHED_TERMS = 64
+#: Postings and block maxima sit in this many folders by a hash of the term; queries read only their terms' folders.
+TERM_FOLDERS = 16
 SCAN_BLOCKS = 256
 FIRST_IDS = 4096
 BUCKET_BYTES = 256 * 1024 * 1024
@@ -76,6 +78,10 @@ def weight_of(k1: float, b: float, avgdl: float) -> Column:
     return F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + F.lit(k1) * length)
 
 
+def folder_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_FOLDERS)).cast("int")
+
+
 def block_of(doc_id: Column, n_blocks: int) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(n_blocks)).cast("int")
 
@@ -113,12 +119,15 @@ def build_index(
     occurrences = words.select(
         "doc_id", F.size("words").cast("long").alias("dl"), F.explode_outer("words").alias("term")
     )
-    postings = occurrences.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).withColumn(
-        "block", block_of(F.col("doc_id"), n_blocks)
+    postings = (
+        occurrences.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+        .withColumn("block", block_of(F.col("doc_id"), n_blocks))
+        .withColumn("folder", folder_of(F.col("term")))
     )
-    # Within a term, rows follow their block: a block filter skips row groups of frequent terms.
+    # A folder per term hash, inside it the document buckets; within a term, rows follow their block, so a
+    # block filter skips row groups of frequent terms.
     (
-        postings.write.bucketBy(buckets, "doc_id").sortBy("term", "block")
+        postings.write.partitionBy("folder").bucketBy(buckets, "doc_id").sortBy("term", "block")
         .option("path", f"{path}/postings").saveAsTable(_table_name("postings"))
     )
     written = _bucketed(spark, f"{path}/postings", postings, buckets, "term")
@@ -140,9 +149,9 @@ def build_index(
     terms = spark.read.parquet(f"{path}/term_df")
     mean_idf = terms.agg(F.avg(raw_idf(totals["n"], F.col("df")))).first()[0]
     (
-        written.filter("term is not null").groupBy("term", "block")
+        written.filter("term is not null").groupBy("folder", "term", "block")
         .agg(F.max(weight_of(k1, b, totals["avgdl"] or 1.0)).alias("max_weight"))
-        .sortWithinPartitions("term").write.parquet(f"{path}/block_max")
+        .sortWithinPartitions("term").write.partitionBy("folder").parquet(f"{path}/block_max")
     )
     spark.createDataFrame(
         [(totals["n"], totals["avgdl"] or 1.0, mean_idf or 0.0, buckets, k1, b, epsilon, n_blocks)],
@@ -178,14 +187,20 @@ def _table_name(kind: str) -> str:
 
 
 def _bucketed(spark: SparkSession, path: str, like: DataFrame, buckets: int, order: str) -> DataFrame:
-    """External table over existing bucket files, so that readers know the files are split by document."""
+    """External table over existing bucket files, so that readers know the files are split by document.
+
+    A `folder` column is the table's partition column: its folders are found on disk and pruned by filters.
+    """
     name = _table_name(path.rstrip("/").rsplit("/", 1)[-1])
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in like.schema.fields)
     place = path.replace("\\", "\\\\").replace("'", "\\'")
+    folders = "PARTITIONED BY (folder) " if "folder" in like.columns else ""
     spark.sql(
-        f"CREATE TABLE {name} ({columns}) USING parquet "
+        f"CREATE TABLE {name} ({columns}) USING parquet {folders}"
         f"CLUSTERED BY (doc_id) SORTED BY ({order}) INTO {buckets} BUCKETS LOCATION '{place}'"
     )
+    if folders:
+        spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
     return spark.table(name)
 
 
@@ -203,6 +218,7 @@ class QuerySide:
 
     fits: bool  # every per-query table (terms, lengths) is certain to fit a broadcast
     terms: list[str] | None  # the distinct terms, when there are few enough to filter a scan by
+    folders: list[int] | None = None  # the term folders that the queries touch (at most TERM_FOLDERS)
 
 
 def measure_queries(queries: DataFrame) -> QuerySide:
@@ -215,12 +231,15 @@ def measure_queries(queries: DataFrame) -> QuerySide:
     terms = None
     if total["n_tokens"] <= PUSHED_TERMS:
         terms = sorted(r["term"] for r in query_terms(queries).select("term").distinct().collect())
-    return QuerySide(total["size"] <= BROADCAST_BYTES, terms)
+    touched = query_terms(queries).select(folder_of(F.col("term")).alias("folder")).distinct().collect()
+    return QuerySide(total["size"] <= BROADCAST_BYTES, terms, sorted(r["folder"] for r in touched))
 
 
 def _only(table: DataFrame, side: QuerySide) -> DataFrame:
-    """Few query terms become a scan filter: files are sorted by term, so all row groups without one
-    of the terms are skipped."""
+    """Only the folders of the query terms are read; few query terms also become a scan filter: files are
+    sorted by term, so all row groups without one of the terms are skipped."""
+    if side.folders is not None and "folder" in table.columns:
+        table = table.filter(F.col("folder").isin(side.folders))
     if side.terms is None:
         return table
     wanted = F.lit(False)

@@ -180,3 +180,20 @@ def test_block_max_pruning_is_exact_and_skips_blocks(spark, monkeypatch):
     blocks = [r.block for r in one.collect()]
     read = index.postings.filter(F.col("block").isin(blocks))
     assert read.count() < index.postings.count() / 2
+
+
+def test_queries_read_only_the_folders_of_their_terms(spark, toy, index):
+    """Any query table: the scan lists only the term folders it touches, with or without term filters."""
+    import re
+
+    long_query = spark.createDataFrame([("q", "laptop python " * 40)], "qid string, text string")
+    side = bm25.measure_queries(long_query)
+    assert side.terms is None and 1 <= len(side.folders) <= 2
+    plan = bm25.score_all(index, long_query)._jdf.queryExecution().executedPlan().toString()
+    listed = [int(n) for n in re.findall(r"InMemoryFileIndex\((\d+) paths\)", plan)]
+    assert listed and max(listed) <= 2 and "PartitionFilters: [" in plan
+    every = {r.folder for r in index.postings.select("folder").distinct().collect()}
+    assert len(every) > 2
+    short = spark.createDataFrame([("q", "laptop python")], "qid string, text string")
+    got, once = as_lists(bm25.top_k(index, long_query, 3))["q"], as_lists(bm25.top_k(index, short, 3))["q"]
+    assert [(d, round(s / 40, 6)) for d, s in got] == once
