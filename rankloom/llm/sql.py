@@ -114,39 +114,48 @@ def _respelled(column: str) -> str:
     return column
 
 
-_FOLDED = (
-    r"CASE WHEN regexp_matches(line, '(?i)^[^\p{L}\p{N}©(]*(copyright\b|\(c\)|©|all rights reserved)') THEN ''"
-    r" ELSE trim(regexp_replace(lower(line), '[^\p{L}\p{N}]+', ' ', 'g')) END"
-)
+_MARK = r"(copyright\b|\(c\)|©)"
+_YEARS = r"[0-9]{4}(\s*[-–,]\s*[0-9]{4})*"
+# A copyright statement: marks, years, and the holder up to its sentence's end, a paragraph break or
+# "all rights reserved"; the line form also ends at the line's end.
+_SENTENCE = rf"(?i){_MARK}([\s,]*{_MARK})*[\s,]*{_YEARS}[^.]*?(all rights reserved\.?|\.\s|\.\z|\n[ \t\r]*\n|\z)"
+_LINE = rf"(?i){_MARK}([ \t,]*{_MARK})*[ \t,]*{_YEARS}[^.\n]*?(all rights reserved\.?|\.\s|\.\z|\n|\z)"
+
+
+def _canonical(column: str, statement: str) -> str:
+    kept = f"regexp_replace(regexp_replace({column}, {_quoted(statement)}, ' ', 'g'), '(?i)\\ball rights reserved\\b\\.?', ' ', 'g')"
+    return _respelled(f"trim(regexp_replace(lower({kept}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))")
+
 
 OP6 = f"""
 WITH known_texts(n, licence, text) AS (VALUES {", ".join(f"({i}, {_quoted(name)}, {_quoted(text)})" for i, (name, text) in enumerate(TEXTS))}),
 units AS (
-  SELECT 'known' AS kind, n AS r, NULL AS doc_id, licence, text FROM known_texts
-  UNION ALL SELECT 'doc', row_number() OVER (), doc_id, NULL, text FROM documents
+  SELECT 'known' AS kind, n AS r, NULL AS doc_id, licence, coalesce(text, '') AS text FROM known_texts
+  UNION ALL SELECT 'doc', row_number() OVER (), doc_id, NULL, coalesce(text, '') FROM documents
 ),
-lines AS (
-  SELECT kind, r, i, string_split_regex(coalesce(text, ''), '\r?\n|\r')[i] AS line
-  FROM units, unnest(range(1, len(string_split_regex(coalesce(text, ''), '\r?\n|\r')) + 1)) AS t(i)
+forms AS (
+  SELECT kind, r, doc_id, licence, {_canonical("text", _SENTENCE)} AS whole, {_canonical("text", _LINE)} AS by_line FROM units
 ),
-folded AS (SELECT kind, r, i, {_FOLDED} AS words FROM lines),
-wholes AS (
-  SELECT kind, r, {_respelled("string_agg(words, ' ' ORDER BY i)")} AS whole FROM folded WHERE words <> '' GROUP BY kind, r
+lines AS (
+  SELECT r, {_canonical("line", _LINE)} AS words
+  FROM (SELECT r, unnest(string_split_regex(text, '\r?\n|\r')) AS line FROM units WHERE kind = 'doc')
 ),
 known AS (
-  SELECT md5(whole) AS digest, min(licence) AS licence
-  FROM wholes w JOIN units u ON u.kind = w.kind AND u.r = w.r WHERE w.kind = 'known' GROUP BY 1
+  SELECT md5(c) AS digest, min(licence) AS licence
+  FROM (SELECT licence, whole AS c FROM forms WHERE kind = 'known' UNION ALL SELECT licence, by_line FROM forms WHERE kind = 'known')
+  WHERE c <> '' GROUP BY 1
 ),
 notices AS (
   SELECT r, list_sort(list(DISTINCT licence)) AS notices
-  FROM (SELECT r, md5({_respelled("words")}) AS digest FROM folded WHERE kind = 'doc' AND words <> '') JOIN known USING (digest)
+  FROM (SELECT r, md5(words) AS digest FROM lines WHERE words <> '') JOIN known USING (digest)
   GROUP BY r
 )
-SELECT u.doc_id, md5(whole) AS digest, k.licence, coalesce(notices, CAST([] AS VARCHAR[])) AS notices,
-  k.licence IS NOT NULL OR notices IS NOT NULL AS found
-FROM (SELECT * FROM units WHERE kind = 'doc') u
-LEFT JOIN (SELECT r, whole FROM wholes WHERE kind = 'doc') w USING (r)
-LEFT JOIN (SELECT digest AS d, licence FROM known) k ON md5(whole) = d
+SELECT f.doc_id, CASE WHEN whole <> '' THEN md5(whole) END AS digest, coalesce(a.licence, b.licence) AS licence,
+  coalesce(notices, CAST([] AS VARCHAR[])) AS notices,
+  coalesce(a.licence, b.licence) IS NOT NULL OR notices IS NOT NULL AS found
+FROM (SELECT * FROM forms WHERE kind = 'doc') f
+LEFT JOIN known a ON whole <> '' AND md5(whole) = a.digest
+LEFT JOIN known b ON by_line <> '' AND md5(by_line) = b.digest
 LEFT JOIN notices USING (r)
 """
 

@@ -62,3 +62,38 @@ def test_edge_cases(spark, known, edge_docs, empty_docs):
     assert all(r.digest is None for r in got if r.doc_id in (4, 5, 6))
     assert scan_licences(empty_docs, known).count() == 0
     assert scan_licences(edge_docs, known.limit(0)).count() == edge_docs.count()
+
+
+def rewrapped(text, width):
+    import textwrap
+
+    return "\n\n".join(textwrap.fill(" ".join(p.split()), width) for p in text.split("\n\n") if p.strip())
+
+
+def test_whole_licences_found_at_every_wrapping_and_as_one_line(spark, known):
+    whole = [(n, t) for n, t in TEXTS if len(t) > 6000]
+    forms = [(n, rewrapped(t, w)) for n, t in whole for w in range(50, 121, 7)]
+    forms += [(n, " ".join(t.split())) for n, t in whole]
+    forms += [("MIT", "Copyright (c) 2020 Jane Doe\n\n" + MIT), ("MIT", "Copyright (c) 2019, 2020 Jane\nDoe. " + MIT)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(forms)], "doc_id long, text string")
+    got = {r.doc_id: r.licence for r in scan_licences(docs, known).collect()}
+    assert [got[i] for i in range(len(forms))] == [n for n, _ in forms]
+
+
+def test_copyright_statements_go_and_nothing_else(spark, known):
+    apache = next(t for n, t in TEXTS if n == "Apache-2.0" and len(t) > 6000)
+    clause = "(c) You must retain"
+    assert clause in apache
+    rows = [
+        (1, "Copyright 2020 X. Released under the MIT License."),
+        (2, apache.replace(clause, "(c) You need not retain")),
+        (3, "Copyright law protects works.\nReleased under the MIT License."),
+        (4, "Copyright"),
+        (5, "© 2021 Someone. All rights reserved."),
+    ]
+    got = {r.doc_id: r for r in scan_licences(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()}
+    assert got[1].notices == ["MIT"] and got[1].found
+    assert got[2].licence is None
+    assert got[3].licence is None and got[3].notices == ["MIT"]
+    assert got[4].digest is not None and not got[4].found
+    assert got[5].digest is None and not got[5].found
