@@ -9,9 +9,11 @@ end each view is calibrated on held-out labels (Platt scaling), and a third regr
 log-odds combines them. All documents are scored in one pass without a shuffle; only the coefficients are
 broadcast, and their number is fixed.
 
-Good means labelled quality 1 and not toxic. Labelled rows are a sample of at most `fit_rows`, picked by a
-hash of the id; unlabelled ones (without id too) all take part. The fold of a document is a hash of its
-text, so copies never stand in both the training and the held-out part.
+Good means labelled quality 1 and not toxic. Labelled rows are a sample of at most about `fit_rows` rows,
+picked by a hash of id and text; unlabelled ones (without id too) all take part. Every FOLDS-th distinct text
+of each class, in the order of a hash of the text, is held out for calibration, so copies never stand in both
+the training and the held-out part and both parts hold both classes; a class of a single text is trained on,
+and calibration then uses all labelled rows.
 
 Defined cases: null text is empty text; null language, source and n_chars are values of their own; labels
 with a null doc_id or null quality are ignored, of several labels of one id the worst counts, null toxic is
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.text import prepare_python, utf8, words_of
@@ -255,12 +257,27 @@ def co_train(views: dict[str, Rows], good: np.ndarray, part: np.ndarray, rounds:
     return models, *combine(views, models, good, held)
 
 
-def _sample(rows: DataFrame, most: int) -> DataFrame:
-    """At most about `most` rows, by a hash of the id."""
+def _sample(rows: DataFrame, most: int, *keys: str) -> DataFrame:
+    """At most about `most` rows, by a hash of the key columns (the id by default)."""
     count = rows.count()
     if count <= most:
         return rows
-    return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(most / count * (1 << 20)))
+    key = F.xxhash64(*(keys or ("doc_id",)), F.lit(5))
+    return rows.filter(F.pmod(key, F.lit(1 << 20)) < int(most / count * (1 << 20)))
+
+
+def _held_parts(rows: DataFrame) -> DataFrame:
+    """Adds `part`: 'held' for every FOLDS-th text of each class in the order of a hash of the text, else 'train'.
+
+    Folds are chosen within each class, so both parts hold both classes whenever each class has two texts or
+    more; a class of one text keeps it for training. Copies of a text share their part. Runs over the bounded
+    labelled sample only.
+    """
+    text_hash = F.xxhash64("text", F.lit(3))
+    ranked = rows.withColumn("_rank", F.dense_rank().over(Window.partitionBy("good").orderBy(text_hash)))
+    ranked = ranked.withColumn("_texts", F.max("_rank").over(Window.partitionBy("good")))
+    held = (F.col("_texts") >= 2) & (F.col("_rank") % FOLDS == 1)
+    return ranked.withColumn("part", F.when(held, "held").otherwise("train")).drop("_rank", "_texts")
 
 
 class QualityModel:
@@ -331,15 +348,14 @@ def fit_quality(
         F.min(F.when(is_good, 1.0).otherwise(0.0)).alias("good")
     )
     columns = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    fold = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(FOLDS))
     seen = F.arrow_udf(_both_views, "struct<content: array<int>, layout: array<int>, numbers: array<double>>")
     features = seen(utf8("text"), F.col("lang"), F.col("source"), F.col("n_chars")).alias("v")
-    labelled = columns.join(broadcast_if_small(stage(_sample(known, fit_rows), "quality_known")), "doc_id").withColumn(
-        "part", F.when(fold == 0, "held").otherwise("train")
-    )
+    # The sample bounds labelled rows, not ids: a repeated id with many texts cannot fill the fitting task.
+    every = columns.join(broadcast_if_small(known), "doc_id")
+    labelled = stage(_sample(every, fit_rows, "doc_id", "text"), "quality_known")
+    labelled = _held_parts(labelled)
     sample = stage(labelled.select("good", "part", features).select("good", "part", "v.*"), "quality_sample")
-    classes = {(r["part"], r["good"]) for r in sample.select("part", "good").distinct().collect()}
-    if len(classes) < 4:
+    if sample.select("good").distinct().count() < 2:
         return None
     rest = columns.join(broadcast_if_small(known.select("doc_id")), "doc_id", "left_anti")
     pool = stage(rest.select(features).select("v.*"), "quality_pool")
@@ -354,7 +370,10 @@ def fit_quality(
             views = _rows_of(own)
             own.clear()
             models = fit_views(views, good, part == "train", held_sums.value)
-            scales, mix = combine(views, models, good, part == "held")
+            held = part == "held"
+            if len(np.unique(good[held])) < 2:  # a class too small to hold out: calibrate on all labelled rows
+                held = np.ones(len(good), dtype=bool)
+            scales, mix = combine(views, models, good, held)
             values = [[view, [*models[view][0], models[view][1]], list(scales[view])] for view in views] + [["mix", [], list(mix)]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([v[k] for v in values], type=t) for k, t in enumerate((pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64())))],

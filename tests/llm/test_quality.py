@@ -135,3 +135,13 @@ def test_edge_cases(spark, edge_docs, empty_docs):
     assert score_quality(empty_docs, model).count() == 0 and good_documents(empty_docs, none).count() == 0
     for raw in (None, b"", b"\n"):
         assert len(content_view(raw)[0]) == 0 and len(layout_view(raw, None, None, None)[0]) > 0
+
+
+def test_one_bad_label_still_fits(spark):
+    chance = random.Random(4)
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    rows = [(i, " ".join(chance.choices(words, k=30)) + f" n{i}", "en", "a", 200) for i in range(300)]
+    rows.append((999, "buy now cheap pills " * 10, "en", "b", 200))
+    labels = [(i, 1, 0) for i in range(200)] + [(999, 0, 1)]
+    model = fit_quality(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, LABELS))
+    assert model is not None
