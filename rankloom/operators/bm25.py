@@ -26,8 +26,12 @@ EPSILON = 0.25
 SCORE_DIGITS = 6
 PAD_CHUNK = 8192
 PUSHED_TERMS = 64
-#: Postings and block maxima sit in this many folders by a hash of the term; queries read only their terms' folders.
+#: Postings and block maxima sit in up to this many folders (a power of two) by a hash of the term; queries read
+#: only their terms' folders. An index has one folder for each FOLDER_BYTES of text.
 TERM_FOLDERS = 16
+FOLDER_BYTES = 1 << 30
+#: Below this many blocks the probe and the bounds cost more than they save, and all blocks are scored.
+PRUNE_BLOCKS = 64
 SCAN_BLOCKS = 256
 FIRST_IDS = 4096
 BUCKET_BYTES = 256 * 1024 * 1024
@@ -54,6 +58,7 @@ class BM25Index:
     epsilon: float = EPSILON
     block_max: DataFrame | None = None  # term, block, max_weight; None for indexes written without blocks
     n_blocks: int = 0
+    n_folders: int = 1
 
     @property
     def term_stats(self) -> DataFrame:
@@ -78,8 +83,10 @@ def weight_of(k1: float, b: float, avgdl: float) -> Column:
     return F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + F.lit(k1) * length)
 
 
-def folder_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(TERM_FOLDERS)).cast("int")
+def folder_of(term: Column, folders: int = TERM_FOLDERS) -> Column:
+    """The term's folder among `folders` (a power of two dividing TERM_FOLDERS): equal to that among
+    TERM_FOLDERS, modulo `folders`."""
+    return F.pmod(F.xxhash64(term), F.lit(folders)).cast("int")
 
 
 def block_of(doc_id: Column, n_blocks: int) -> Column:
@@ -92,7 +99,7 @@ def raw_idf(n_docs: int, df: Column) -> Column:
 
 def build_index(
     corpus: DataFrame, path: str | None = None, buckets: int | None = None,
-    k1: float = K1, b: float = B, epsilon: float = EPSILON,
+    k1: float = K1, b: float = B, epsilon: float = EPSILON, folders: int | None = None,
 ) -> BM25Index:
     """Tokenise every document's text once and write the index tables under `path`.
 
@@ -103,9 +110,12 @@ def build_index(
     """
     spark = corpus.sparkSession
     path = path or fresh_path(spark, "bm25")
-    if buckets is None:
+    if buckets is None or folders is None:
         volume = corpus.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // BUCKET_BYTES))
+        if buckets is None:
+            buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // BUCKET_BYTES))
+        if folders is None:
+            folders = 1 << min(TERM_FOLDERS.bit_length() - 1, max(0, (volume // FOLDER_BYTES).bit_length() - 1))
     kept = corpus.select("doc_id", F.col("title") if "title" in corpus.columns else F.lit(None).cast("string").alias("title"), "text")
     (
         kept.repartition(buckets, "doc_id").write.bucketBy(buckets, "doc_id").sortBy("doc_id")
@@ -122,7 +132,7 @@ def build_index(
     postings = (
         occurrences.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
         .withColumn("block", block_of(F.col("doc_id"), n_blocks))
-        .withColumn("folder", folder_of(F.col("term")))
+        .withColumn("folder", folder_of(F.col("term"), folders))
     )
     # A folder per term hash, inside it the document buckets; within a term, rows follow their block, so a
     # block filter skips row groups of frequent terms.
@@ -154,13 +164,14 @@ def build_index(
         .sortWithinPartitions("term").write.partitionBy("folder").parquet(f"{path}/block_max")
     )
     spark.createDataFrame(
-        [(totals["n"], totals["avgdl"] or 1.0, mean_idf or 0.0, buckets, k1, b, epsilon, n_blocks)],
-        "n_docs long, avgdl double, mean_idf double, buckets int, k1 double, b double, epsilon double, n_blocks int",
+        [(totals["n"], totals["avgdl"] or 1.0, mean_idf or 0.0, buckets, k1, b, epsilon, n_blocks, folders)],
+        "n_docs long, avgdl double, mean_idf double, buckets int, k1 double, b double, epsilon double, n_blocks int,"
+        " n_folders int",
     ).coalesce(1).write.json(f"{path}/manifest")
     return BM25Index(
         written, spark.read.parquet(f"{path}/doc_stats"), texts, spark.read.parquet(f"{path}/first_ids"), terms,
         totals["n"], totals["avgdl"] or 1.0, mean_idf or 0.0, k1, b, epsilon,
-        spark.read.parquet(f"{path}/block_max"), n_blocks,
+        spark.read.parquet(f"{path}/block_max"), n_blocks, folders,
     )
 
 
@@ -178,7 +189,8 @@ def load_index(spark: SparkSession, path: str) -> BM25Index:
         n_docs=facts["n_docs"], avgdl=facts["avgdl"], mean_idf=facts["mean_idf"],
         k1=facts["k1"], b=facts["b"], epsilon=facts["epsilon"],
         block_max=spark.read.parquet(f"{path}/block_max") if "n_blocks" in facts else None,
-        n_blocks=facts["n_blocks"] if "n_blocks" in facts else 0,
+        n_blocks=facts.get("n_blocks") or 0,
+        n_folders=facts.get("n_folders") or 1,
     )
 
 
@@ -235,11 +247,11 @@ def measure_queries(queries: DataFrame) -> QuerySide:
     return QuerySide(total["size"] <= BROADCAST_BYTES, terms, sorted(r["folder"] for r in touched))
 
 
-def _only(table: DataFrame, side: QuerySide) -> DataFrame:
+def _only(table: DataFrame, side: QuerySide, folders: int = 1) -> DataFrame:
     """Only the folders of the query terms are read; few query terms also become a scan filter: files are
     sorted by term, so all row groups without one of the terms are skipped."""
-    if side.folders is not None and "folder" in table.columns:
-        table = table.filter(F.col("folder").isin(side.folders))
+    if side.folders is not None and "folder" in table.columns and folders > 1:
+        table = table.filter(F.col("folder").isin(sorted({f % folders for f in side.folders})))
     if side.terms is None:
         return table
     wanted = F.lit(False)
@@ -250,7 +262,7 @@ def _only(table: DataFrame, side: QuerySide) -> DataFrame:
 
 def weighted_postings(index: BM25Index, side: QuerySide) -> DataFrame:
     """doc_id, term, weight of the postings that the queries can touch."""
-    return _only(index.postings, side).select("doc_id", "term", index.term_weight().alias("weight"))
+    return _only(index.postings, side, index.n_folders).select("doc_id", "term", index.term_weight().alias("weight"))
 
 
 def weighted_terms(index: BM25Index, terms: DataFrame, side: QuerySide) -> DataFrame:
@@ -274,7 +286,7 @@ def _scores_in_blocks(index: BM25Index, side: QuerySide, terms: DataFrame, block
     When few distinct blocks are asked for, they become a scan filter as well: postings are sorted by block
     within each term, so row groups of other blocks are skipped.
     """
-    postings = _only(index.postings, side)
+    postings = _only(index.postings, side, index.n_folders)
     few = blocks.select("block").distinct().limit(SCAN_BLOCKS + 1).collect()
     if len(few) <= SCAN_BLOCKS:
         postings = postings.filter(F.col("block").isin([r["block"] for r in few]))
@@ -294,7 +306,7 @@ def kept_blocks(index: BM25Index, queries: DataFrame, k: int, side: QuerySide, t
     block whose bound is below it (by more than rounding) is left out. Exact: nothing of the top k is lost.
     """
     asked = terms.select("qid", "term", (F.col("qtf") * F.col("idf")).alias("qw"))
-    maxima = _only(index.block_max, side)
+    maxima = _only(index.block_max, side, index.n_folders)
     bounds = stage(
         join_on_term(maxima, asked, "term", "block", side.fits)
         .groupBy("qid", "block").agg(F.sum(F.col("qw") * F.col("max_weight")).alias("bound")),
@@ -314,10 +326,10 @@ def kept_blocks(index: BM25Index, queries: DataFrame, k: int, side: QuerySide, t
 def score_pruned(index: BM25Index, queries: DataFrame, k: int) -> DataFrame:
     """The scores of `score_all` for every document that can be among a query's k best (block-max pruning).
 
-    Falls back to `score_all` for indexes without blocks, and when the kept (query, block) pairs are counted
-    too large to broadcast.
+    Falls back to `score_all` for indexes without blocks or with fewer than PRUNE_BLOCKS, and when the kept
+    (query, block) pairs are counted too large to broadcast.
     """
-    if index.block_max is None or not index.n_blocks:
+    if index.block_max is None or index.n_blocks < PRUNE_BLOCKS:
         return score_all(index, queries)
     side = measure_queries(queries)
     terms = stage(weighted_terms(index, query_terms(queries), side), "scored_terms")

@@ -160,6 +160,7 @@ def test_block_max_pruning_is_exact_and_skips_blocks(spark, monkeypatch):
     """Many small blocks, long query table (no term filter): pruned scores give the brute-force lists."""
     monkeypatch.setattr(bm25, "BLOCK_DOCS", 8)
     monkeypatch.setattr(bm25, "PROBE_BLOCKS", 8)
+    monkeypatch.setattr(bm25, "PRUNE_BLOCKS", 2)
     rng = random.Random(11)
     vocabulary = [f"w{i}" for i in range(300)]
     weights = [1.0 / (i + 1) for i in range(300)]
@@ -182,10 +183,12 @@ def test_block_max_pruning_is_exact_and_skips_blocks(spark, monkeypatch):
     assert read.count() < index.postings.count() / 2
 
 
-def test_queries_read_only_the_folders_of_their_terms(spark, toy, index):
+def test_queries_read_only_the_folders_of_their_terms(spark, toy):
     """Any query table: the scan lists only the term folders it touches, with or without term filters."""
     import re
 
+    index = bm25.build_index(toy.corpus, buckets=3, folders=16)
+
     long_query = spark.createDataFrame([("q", "laptop python " * 40)], "qid string, text string")
     side = bm25.measure_queries(long_query)
     assert side.terms is None and 1 <= len(side.folders) <= 2
