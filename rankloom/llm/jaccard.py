@@ -1,8 +1,10 @@
 """Similarity join on word shingles: MinHash, Bayesian pruning of candidates, exact verification.
 
 1. Documents with equal shingle sets are one class; from here on only classes are compared.
-2. A class has 128 MinHash values, in 32 bands of 4; classes that agree in a band are candidates. A pair
-   at the threshold agrees in no band with a probability of 5e-8 (0.59^32).
+2. A class has 128 MinHash values, in bands; classes that agree in a band are candidates. The band width is
+   the largest of 8, 4, 2, 1 for which a pair at the threshold agrees in no band with a probability of at
+   most `MISS` (at 0.8: 32 bands of 4, 5e-8 = 0.59^32; at 0.6: 64 of 2; at 0.45: 128 of 1); a threshold that no width
+   meets is refused.
 3. Candidates of one band bucket are compared 16 MinHash values at a time. With a uniform prior, after m
    agreements of n the posterior probability of similarity t or more is P(Bin(n + 1, t) <= m); a pair goes
    when it falls below the tolerance (1e-9, so that no more than about 1e-8 of true pairs are lost).
@@ -40,6 +42,7 @@ THRESHOLD = 0.8
 TOLERANCE = 1e-9
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
+MISS = 1e-7
 STEP = 16
 BLOCK_ROWS = 2048
 BLOCK_BYTES = 32 * 1024 * 1024
@@ -120,9 +123,17 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
 
 
+def band_width(threshold: float, miss: float = MISS) -> int:
+    """Values a band: the widest that misses a pair at the threshold with a probability of at most `miss`."""
+    for width in (8, 4, 2, 1):
+        if (1.0 - threshold**width) ** (HASHES // width) <= miss:
+            return width
+    raise ValueError(f"{HASHES} MinHash values cannot find pairs at similarity {threshold} with a miss of at most {miss}")
+
+
 def surviving(
     first: np.ndarray, second: np.ndarray, signatures: np.ndarray, sizes: np.ndarray, band: int,
-    threshold: float, limits: list[int],
+    threshold: float, limits: list[int], width: int = ROWS,
 ) -> tuple[np.ndarray, np.ndarray]:
     """The pairs that lengths and posterior leave, without those that already met in an earlier band."""
     small, large = np.minimum(sizes[first], sizes[second]), np.maximum(sizes[first], sizes[second])
@@ -137,8 +148,8 @@ def surviving(
         keep = agreed >= limit
         first, second, agreed = first[keep], second[keep], agreed[keep]
     if band and len(first):
-        equal = signatures[first, : band * ROWS] == signatures[second, : band * ROWS]
-        met = equal.reshape(len(first), band, ROWS).all(axis=2).any(axis=1)
+        equal = signatures[first, : band * width] == signatures[second, : band * width]
+        met = equal.reshape(len(first), band, width).all(axis=2).any(axis=1)
         first, second = first[~met], second[~met]
     return first, second
 
@@ -195,6 +206,7 @@ def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     spark = docs.sparkSession
     prepare_python(spark)
     limits, ratio = fewest_agreements(threshold, tolerance), Fraction(threshold).limit_denominator(10**6)
+    width = band_width(threshold)
     sketched = stage(
         docs.select("doc_id", text_key().alias("text_key"), F.arrow_udf(
             _sketch, "struct<set_key: binary, n: int, signature: binary>")(utf8("text")).alias("s")
@@ -209,8 +221,8 @@ def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
         "jaccard_classes",
     )
     bands = F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)),
-        lambda b: F.xxhash64(F.expr("signature").substr(b * (4 * ROWS) + 1, F.lit(4 * ROWS))),
+        F.sequence(F.lit(0), F.lit(HASHES // width - 1)),
+        lambda b: F.xxhash64(F.expr("signature").substr(b * (4 * width) + 1, F.lit(4 * width))),
     )
     members = classes.select(F.col("set_key").alias("node"), "n", F.posexplode(bands).alias("band", "bucket"))
     crowded = stage(members.groupBy("band", "bucket").agg(F.count("*").alias("rows")).filter("rows > 1"), "jaccard_buckets")
@@ -223,7 +235,7 @@ def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
             own, sizes = _matrix(group.column("signature")), group.column("n").to_numpy()
             seen = np.zeros(group.num_rows, dtype=bool)
             for first, second in pairs_of(group.column("_block").to_numpy(), low != high):
-                first, second = surviving(first, second, own, sizes, band, threshold, limits)
+                first, second = surviving(first, second, own, sizes, band, threshold, limits, width)
                 seen[first] = seen[second] = True
             if seen.any():
                 nodes = group.column("node").take(pa.array(np.flatnonzero(seen))).combine_chunks()
@@ -264,7 +276,7 @@ def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
             sets = [np.frombuffer(b, dtype=np.uint64) for b in group.column("shingles").to_pylist()]
             tally = Tally(group.column("node").to_pylist(), group.column("members").to_numpy())
             for first, second in pairs_of(group.column("_block").to_numpy(), low != high):
-                first, second = surviving(first, second, own, sizes, band, threshold, limits)
+                first, second = surviving(first, second, own, sizes, band, threshold, limits, width)
                 if len(first):
                     true = verified(first, second, sets, sizes, ratio)
                     tally.add(first[true], second[true])

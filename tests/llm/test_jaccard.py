@@ -95,3 +95,30 @@ def test_edge_cases(spark, edge_docs, empty_docs):
     assert len(worded) == len(set(worded))
     assert sum(t is None for t in texts) == 2 and {"", " \t\n "} <= set(texts)
     assert join_documents(empty_docs).count() == 0 and one_of_each(empty_docs).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.45, 0.6, 0.8])
+def test_recall_at_lower_thresholds(spark, threshold):
+    """Bands follow the threshold: every pair at or above it is linked, checked against all pairs."""
+    chance = random.Random(int(threshold * 100))
+    rows, number = [], 0
+    for _ in range(30):
+        base = chance.choices(WORDS, k=40)
+        for _ in range(4):
+            own = list(base)
+            for _ in range(chance.randrange(0, 9)):
+                own[chance.randrange(len(own))] = chance.choice(WORDS)
+            rows.append((number, " ".join(own)))
+            number += 1
+    sets = [set(shingle_set(t.encode()).tolist()) for _, t in rows]
+    want = [0] * len(rows)
+    for a, b in combinations(range(len(rows)), 2):
+        shared = len(sets[a] & sets[b])
+        if shared and shared >= threshold * (len(sets[a]) + len(sets[b]) - shared) - 1e-9:
+            want[a] += 1
+            want[b] += 1
+    assert sum(want) > 0
+    got = {r.doc_id: r.n_links for r in join_documents(spark.createDataFrame(rows, "doc_id long, text string"), threshold).collect()}
+    assert [got[i] for i, _ in rows] == want
+    with pytest.raises(ValueError):
+        jaccard.band_width(0.05)
