@@ -49,3 +49,29 @@ def test_empty_and_huge_counts(spark, empty_docs):
     big = spark.createDataFrame([(10**12, 10**12 + 1, 10**12 + 3)], "a long, l long, r long")
     score = big.select(C._exact_score("a", "l", "r").alias("s")).first().s
     assert score == 10**6 * 10**24 // ((10**12 + 1) * (10**12 + 3))
+
+
+def test_key_filter_keeps_every_frequent_window_and_few_rare_ones(spark):
+    frequent = [f"often{i} seen{i} here{i}" for i in range(30)] * 10
+    rare = [f"rare{i} word{i} pair{i}" for i in range(3000)]
+    docs = spark.createDataFrame([(i, text, "en") for i, text in enumerate(frequent + rare)], "doc_id long, text string, lang string")
+    dictionary = C.chunk_dictionary(docs).cache()
+    every = {(r.lang, r.k, r.gram): r.f for r in C.window_counts(dictionary).collect()}
+    kept = {(r.lang, r.k, r.gram): r.f for r in C.window_counts(dictionary, keep=C.key_filter(dictionary, 10)).collect()}
+    assert {w for w, f in every.items() if f >= 10} <= set(kept) and kept.items() <= every.items()
+    assert len(every) == 6 * 3030 and len(kept) < len(every) / 4
+
+
+def test_full_filter_and_capped_counts_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(C, "FILTER_BYTES", 1 << 4)
+    docs = spark.createDataFrame([(1, ". ".join(f"w{i} x{i}" for i in range(400) for _ in range(1 + i % 12)), "en")], "doc_id long, text string, lang string")
+    got = {r.phrase: r.a for r in C.collocations(docs).collect()}
+    assert got == {f"w{i} x{i}": 1 + i % 12 for i in range(400) if i % 12 >= 9}
+
+
+def test_first_pass_counts_each_window_by_its_hash(spark):
+    text = ". ".join(f"a{i} b{i} c{i}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")
+    dictionary = C.chunk_dictionary(docs)
+    assert C.frequent_keys(dictionary, 1, 3).agg({"n": "sum"}).first()[0] == 6 * 20_000
+    assert C.frequent_keys(dictionary, 2, 3).agg({"n": "sum"}).first()[0] == 0
