@@ -112,6 +112,18 @@ def test_folds_are_dealt_in_id_order(spark):
     assert tuning.assign_folds(rows, 1).select("fold").distinct().count() == 2
 
 
+@pytest.mark.parametrize("label", [0, 1])
+def test_one_class_has_an_optimum_with_a_penalised_intercept(frame, table, label):
+    lonely = frame.filter(F.col("label") == label)
+    model = reranker.fit_reranker(lonely, NAMES, {"C": 2.0, "solver": "liblinear"})
+    rows = table[table.label == label]
+    expected = newton(standardised(rows), rows.label.to_numpy(), 2.0, True)
+    assert np.allclose([*model.coefficient, model.intercept], expected, atol=1e-5)
+    assert (model.intercept > 0) == (label == 1)
+    with pytest.raises(ValueError, match="one class"):
+        reranker.fit_reranker(lonely, NAMES, {"C": 2.0, "solver": "lbfgs"})
+
+
 def test_one_class_fits_are_skipped(spark, frame):
     lonely = frame.filter("query_id < 2").withColumn(
         "label", F.when(F.col("query_id") == 0, F.col("label")).otherwise(0)
