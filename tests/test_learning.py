@@ -124,6 +124,17 @@ def test_one_class_has_an_optimum_with_a_penalised_intercept(frame, table, label
         reranker.fit_reranker(lonely, NAMES, {"C": 2.0, "solver": "lbfgs"})
 
 
+@pytest.mark.parametrize("rows", [1, 2])
+def test_a_few_rows_of_one_class_still_get_an_intercept(frame, rows):
+    few = frame.filter("label = 1").orderBy("query_id", "doc_id").limit(rows)
+    model = reranker.fit_reranker(few, NAMES, {"C": 2.0, "solver": "liblinear"})
+    w = 0.0
+    for _ in range(50):  # every feature is constant or symmetric, so the intercept has an optimum of its own
+        p = 1 / (1 + np.exp(-w))
+        w -= (rows * 0.5 * (p - 1) + w / 2.0) / (rows * 0.5 * p * (1 - p) + 1 / 2.0)
+    assert model.intercept == pytest.approx(w, abs=1e-5)
+
+
 def test_one_class_fits_are_skipped(spark, frame):
     lonely = frame.filter("query_id < 2").withColumn(
         "label", F.when(F.col("query_id") == 0, F.col("label")).otherwise(0)
