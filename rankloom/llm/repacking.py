@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.tables import stage
 from rankloom.llm.text import prepare_python
+from rankloom.llm.word_ids import WordIds
 
 LENGTH = 2048
 END_ID = 0
@@ -66,24 +67,22 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
-
-
-def piece_rows(doc_ids: list, texts: list, path: str, length: int) -> dict[str, list]:
-    """Pieces of a batch of documents: (piece, doc_id, start, length, crc32) columns and the row index."""
-    encoded = _tokenizer(path).encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
-    out: dict[str, list] = {"index": [], "piece": [], "doc_id": [], "start": [], "length": [], "ids_crc32": []}
-    for index, (doc_id, tokens) in enumerate(zip(doc_ids, encoded)):
-        ids = np.asarray(tokens.ids + [END_ID], dtype="<u4")
-        for number, at in enumerate(range(0, len(ids), length)):
-            part = ids[at : at + length]
-            out["index"].append(index)
-            out["piece"].append(number)
-            out["doc_id"].append(doc_id)
-            out["start"].append(at)
-            out["length"].append(len(part))
-            out["ids_crc32"].append(zlib.crc32(part.tobytes()))
-    return out
+    return WordIds(Tokenizer.from_file(path))
+
+
+def piece_rows(texts: pa.Array, path: str, length: int) -> tuple[np.ndarray, ...]:
+    """Pieces of a batch of texts: columns (text's number in the batch, piece, start, length, crc32)."""
+    ids, sizes = _tokenizer(path).encode(texts)
+    ids = np.insert(ids, np.cumsum(sizes), np.array(END_ID, dtype="<u4"))
+    sizes = sizes + 1
+    pieces = -(-sizes // length)
+    index = np.repeat(np.arange(len(sizes)), pieces)
+    piece = np.arange(len(index)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = piece * length
+    lengths = np.minimum(sizes[index] - start, length)
+    ends = np.cumsum(lengths).tolist()
+    crc = np.fromiter((zlib.crc32(ids[a:b].data) for a, b in zip([0, *ends], ends)), dtype=np.int64, count=len(ends))
+    return index, piece, start, lengths, crc
 
 
 def token_pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -95,14 +94,14 @@ def token_pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH,
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = piece_rows(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), path, length)
-            index = pa.array(got.pop("index"), pa.int64())
+            index, piece, start, lengths, crc = piece_rows(batch.column("text"), path, length)
+            index = pa.array(index)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("row").take(index),
-                    pa.array(got["piece"], pa.int32()),
+                    pa.array(piece.astype(np.int32)),
                     batch.column("doc_id").take(index),
-                    *[pa.array(got[c], pa.int64()) for c in ("start", "length", "ids_crc32")],
+                    *[pa.array(column) for column in (start, lengths, crc)],
                 ],
                 names=["row", "piece", "doc_id", "start", "length", "ids_crc32"],
             )

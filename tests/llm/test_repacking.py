@@ -75,3 +75,55 @@ def test_empty_string_ids_and_query(spark, empty_docs):
     out = op13_best_fit_packing(spark, SMALL)
     assert out.columns[:7] == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert out.count() >= spark.read.parquet(f"{SMALL}/documents.parquet").count()
+
+
+def test_words_give_the_ids_of_whole_texts(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from rankloom.llm import word_ids
+
+    tokenizer = Tokenizer.from_file(R.tokenizer_path())
+    texts = [
+        None, "", " ", "\t\n ", "  lead and trail \n", "It's 10 o'clock, they'll've 2007-08-10 0 00 x0y 0", "<|endoftext|> a<|startoftext|>0",
+        "é ́x ạ̈ 가 Ω İI ΣΣ σ", "a b　c\u0085d\x1ce\x0bf\x0cg\r\nh i", "中文\U0001f600 x\x00y ٠١²",
+        "a" * 3000, "word " * 5000, "</w> 0</w> '0' ",
+    ]
+    chance = random.Random(5)
+    signs = [*"aab0 \t\n\r\x0b\x0c\x85 'st<|>.́̈İᅡᄀ٠Åßǅ", "<|endoftext|>", "'ll"]
+    texts += ["".join(chance.choices(signs, k=chance.randint(1, 80))) for _ in range(3000)]
+    monkeypatch.setattr(word_ids, "MEMORY_WORDS", 500)
+    encoder = word_ids.WordIds(tokenizer)
+    assert encoder.by_word
+    for at in range(0, len(texts), 400):
+        part = texts[at : at + 400]
+        ids, sizes = encoder.encode(pa.array(["left out", *part], pa.string()).slice(1))
+        whole = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in part]
+        assert sizes.tolist() == [len(w) for w in whole]
+        assert ids.tolist() == [i for w in whole for i in w]
+    assert encoder.encode(pa.array([], pa.string()))[0].size == 0
+    assert encoder.encode(pa.array([None, ""], pa.string()))[1].tolist() == [0, 0]
+
+
+def test_a_word_is_encoded_once():
+    import pyarrow as pa
+
+    from rankloom.llm import word_ids
+
+    class Counting:
+        """A tokenizer that counts the characters it is given."""
+
+        def __init__(self):
+            self.given, self.own = 0, Tokenizer.from_file(R.tokenizer_path())
+            self.to_str, self.encode = self.own.to_str, self.own.encode
+
+        def encode_batch_fast(self, texts, add_special_tokens):
+            self.given += sum(map(len, texts))
+            return self.own.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    counting = Counting()
+    encoder = word_ids.WordIds(counting)
+    for _ in range(3):
+        encoder.encode(pa.array(["seldom heard words " * 1000] * 5))
+    assert counting.given < 100
