@@ -200,3 +200,40 @@ def test_queries_read_only_the_folders_of_their_terms(spark, toy):
     short = spark.createDataFrame([("q", "laptop python")], "qid string, text string")
     got, once = as_lists(bm25.top_k(index, long_query, 3))["q"], as_lists(bm25.top_k(index, short, 3))["q"]
     assert [(d, round(s / 40, 6)) for d, s in got] == once
+
+
+def test_blocks_lie_inside_buckets(spark, monkeypatch):
+    """A block is spread over two buckets at most, so its best weights come together where the postings are."""
+    monkeypatch.setattr(bm25, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(bm25, "BUCKET_BYTES", 64)
+    docs = [(d, f"word number w{d % 7} w{d}") for d in range(400)] + [(None, "word"), (3, "word number w3 w3"), (500, None)]
+    corpus = frames(spark, docs, [])[0]
+    built = bm25.build_index(corpus)
+    buckets = -(-sum(len(t or "") for _, t in docs) // 64)
+    assert buckets > 64 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = corpus.select(
+        F.pmod(F.hash("doc_id"), F.lit(4)).alias("bucket"), bm25.block_of(F.col("doc_id"), 50, 4).alias("block")
+    )
+    spread = [r.n for r in placed.groupBy("block").agg(F.countDistinct("bucket").alias("n")).collect()]
+    assert len(spread) == 50 and max(spread) <= 2 and sum(n > 1 for n in spread) <= 3
+    got = {(r.doc_id, r.term): r.tf for r in built.postings.filter("term is not null").collect()}
+    want = Counter((d, t) for d, text in docs for t in (text or "").split())
+    assert got == want
+    best = {(r.term, r.block): r.max_weight for r in built.block_max.collect()}
+    kept = built.postings.filter("term is not null").withColumn("weight", built.term_weight())
+    assert best == {
+        (r.term, r.block): r.w for r in kept.groupBy("term", "block").agg(F.max("weight").alias("w")).collect()
+    }
+
+
+def test_small_tasks_are_set_and_taken_back(spark):
+    from rankloom.plans.staging import SCAN_BYTES, small_tasks
+
+    names = ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes")
+    before = [spark.conf.get(name) for name in names]
+    with pytest.raises(KeyError), small_tasks(spark, 777):
+        assert [spark.conf.get(name) for name in names] == ["777", str(SCAN_BYTES)]
+        raise KeyError
+    assert [spark.conf.get(name) for name in names] == before
+    with small_tasks(spark, 1):
+        assert spark.conf.get(names[0]) == before[0]
