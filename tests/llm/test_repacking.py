@@ -127,3 +127,59 @@ def test_a_word_is_encoded_once():
     for _ in range(3):
         encoder.encode(pa.array(["seldom heard words " * 1000] * 5))
     assert counting.given < 100
+
+
+def test_a_word_is_encoded_once_whatever_its_case_and_signs():
+    import pyarrow as pa
+
+    from rankloom.llm import word_ids
+
+    class Counting:
+        """A tokenizer that counts the characters it is given."""
+
+        def __init__(self):
+            self.given, self.own = 0, Tokenizer.from_file(R.tokenizer_path())
+            self.to_str, self.encode = self.own.to_str, self.own.encode
+
+        def encode_batch_fast(self, texts, add_special_tokens):
+            self.given += sum(map(len, texts))
+            return self.own.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    counting = Counting()
+    text = " ".join(
+        f"{before}{word}{behind}"
+        for before in ("", "(", "--", "7")
+        for word in ("heard", "Heard", "HEARD", "wêre", "Wêre")
+        for behind in ("", ",", ".", "!", ";)", "$$$", "2")
+    )
+    ids, sizes = word_ids.WordIds(counting).encode(pa.array([text, None, text]))
+    whole = counting.encode(text, add_special_tokens=False).ids
+    assert sizes.tolist() == [len(whole), 0, len(whole)] and ids.tolist() == whole * 2
+    assert counting.given < 120 < len(text)
+
+
+def test_cuts_between_signs_give_the_ids_of_whole_texts(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from rankloom.llm import word_ids
+
+    tokenizer = Tokenizer.from_file(R.tokenizer_path())
+    texts = [
+        "J\u030c H\u0331x T\u0308. j\u030c e\u0301, E\u0301! =\u0338 a=\u0338", "it's IT'S 'Store o'clock ''s 7's é's '\u017f 'é", "a×b é÷ß ÿ",
+        "<|ENDOFTEXT|> <|endoftext|> The,End", "<|EndOfText|> The,End", "x<|startoftext|>Y.<|endoftext|>z", "ΑΣ.Α aΣ'b aΣ.b Σb", "İI.İ ıK Åb",
+        "“Word” —a— 中A文.b", "\x00a\x1cB\x7f.c\u0085D", None, "", ".", " . ",
+    ]
+    chance = random.Random(7)
+    signs = [*"aAbJjTs0 \t'.,<|>=×éÉßΣİı中—”\u030c\u0338\u0301\u0323\x1c\u0085\u3000", "<|endoftext|>", "<|ENDOFTEXT|>", "'LL"]
+    texts += ["".join(chance.choices(signs, k=chance.randint(1, 60))) for _ in range(3000)]
+    monkeypatch.setattr(word_ids, "MEMORY_WORDS", 500)
+    encoder = word_ids.WordIds(tokenizer)
+    assert encoder.by_word and encoder.ends.any()
+    for at in range(0, len(texts), 400):
+        part = texts[at : at + 400]
+        ids, sizes = encoder.encode(pa.array(part, pa.string()))
+        whole = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in part]
+        assert sizes.tolist() == [len(w) for w in whole]
+        assert ids.tolist() == [i for w in whole for i in w]
