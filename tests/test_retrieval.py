@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import bm25
 from rankloom.plans import joins
-from rankloom.plans.staging import fresh_path
+from rankloom.plans.staging import fresh_path, open_writers
 
 
 def brute_force(docs, queries, k):
@@ -237,3 +237,60 @@ def test_small_tasks_are_set_and_taken_back(spark):
     assert [spark.conf.get(name) for name in names] == before
     with small_tasks(spark, 1):
         assert spark.conf.get(names[0]) == before[0]
+
+
+@pytest.mark.parametrize("slab", [1 << 21, 40])
+def test_long_queries_are_scored_document_by_document(spark, monkeypatch, slab):
+    """Copies, ids that come twice or are null, queries that ask twice: the lists of scoring all pairs."""
+    monkeypatch.setattr(bm25, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(bm25, "PRUNE_BLOCKS", 2)
+    monkeypatch.setattr(bm25, "SLAB_MATCHES", slab)
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(200)]
+    text = lambda n: " ".join(rng.choices(vocabulary, [1.0 / (i + 1) for i in range(200)], k=n))
+    docs = [(d, text(rng.randint(5, 40))) for d in range(300)]
+    docs += [(300 + d, docs[d % 3][1]) for d in range(30)] + [(4, text(9)), (None, text(9)), (400, None), (401, "")]
+    queries = [(q, text(30)) for q in range(20)] + [(3, text(20)), (None, text(40)), (50, "unknown " * 20), (51, None)]
+    corpus, asked = frames(spark, docs, queries)
+    index = bm25.build_index(corpus, buckets=4)
+    monkeypatch.setattr(bm25, "kept_blocks", None)  # bounds of long queries leave no block out: no probe
+    found = bm25.score_pruned(index, asked, 5)
+    steps = found._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[1]
+    assert "Exchange hashpartitioning" not in steps
+    every = bm25.score_all(index, asked)
+    row = lambda r: (r.qid, r.doc_id, round(r.score, 5))
+    pairs = {row(r) for r in every.collect()}
+    handed = [row(r) for r in found.collect()]
+    assert len(set(handed)) == len(handed) and set(handed) <= pairs and (slab == 40 or len(handed) < len(pairs) / 2)
+    best = [sorted(row(r) + (r.rank,) for r in bm25.best_per_query(x, 5).filter("qid is not null and doc_id is not null").collect())
+            for x in (found, every)]
+    assert best[0] == best[1] and len(best[0]) > 90
+
+
+def test_queries_that_keep_most_blocks_are_scored_document_by_document(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(bm25, "PRUNE_BLOCKS", 2)
+    docs, queries = random_case(6, 60, 40, 12)
+    corpus, asked = frames(spark, docs, queries)
+    index = bm25.build_index(corpus, buckets=4)
+    monkeypatch.setattr(bm25, "kept_blocks", lambda index, *_: index.block_max.select("block").distinct().crossJoin(
+        asked.select("qid").distinct()))
+    monkeypatch.setattr(bm25, "_scores_in_blocks", None)
+    assert as_lists(bm25.top_k(index, asked, 7)) == brute_force(docs, queries, 7)
+
+
+def test_posting_files_are_sorted_before_the_writer(spark):
+    """One sort by term and block, none by folder and bucket; each file is in that order."""
+    import glob
+
+    path = fresh_path(spark, "sorted")
+    docs = [(d, " ".join(f"w{(d * 7 + i) % 50}" for i in range(20))) for d in range(100)] + [(100, None)]
+    bm25.build_index(frames(spark, docs, [])[0], path, buckets=3, folders=4)
+    files = glob.glob(f"{path.removeprefix('file:')}/postings/folder=*/*.parquet")
+    assert 8 <= len(files) <= 12
+    for file in files:
+        keys = [(r.term is not None, r.term, r.block) for r in spark.read.parquet(file).select("term", "block").collect()]
+        assert keys == sorted(keys)
+    with open_writers(spark, 77):
+        assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "77"
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
